@@ -24,6 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if it has been counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 100_000
 
+#: Arrow batches hold about this many bytes at most, or one row.
+BATCH_BYTES = 4_000_000
+
 #: Arrow batches are cut into pieces of about this many bytes of text before Python lists are made of them.
 PIECE_BYTES = 8_000_000
 
@@ -81,6 +84,12 @@ def utf8(column: str) -> Column:
     return F.col(f"`{column}`").cast("binary")
 
 
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with batches that are bounded in bytes, since texts may be long: both sides hold one at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with at most ``most`` bytes in ``column``, or one row."""
     for batch in batches:

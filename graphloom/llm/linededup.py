@@ -25,12 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, pieces, share, sized_join, utf8
+from .common import WORD, mapped, pieces, share, utf8
 
 MIN_WORDS = 50
 MIN_LINES = 4
-#: Deleted runs that may be broadcast, at about 30 bytes each.
-BROADCAST_RUNS = 300_000
 SPACES = b" \t\x0b\x0c\r"
 
 
@@ -77,7 +75,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
     """(id, tie, runs): the lines [first, last] of each document that repeat earlier ones, as they were matched."""
-    found = share(keyed(docs).mapInArrow(partial(_windows, min_words=min_words, min_lines=min_lines), WINDOW_SCHEMA), "windows")
+    found = share(mapped(keyed(docs), partial(_windows, min_words=min_words, min_lines=min_lines), WINDOW_SCHEMA), "windows")
     place = F.xxhash64("id", "tie", "first", "last")
     shared = found.groupBy("fingerprint").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("fingerprint")
     matched = share(found.join(shared, "fingerprint", "left_semi"), "matched")
@@ -116,15 +114,14 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_words:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    runs = share(later_runs(docs, min_words, min_lines), "runs")
-    total = runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    runs = later_runs(docs, min_words, min_lines)
     named = [F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]
     key = [F.coalesce(F.col("`doc_id`").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col("`text`")).alias("tie")]
     rows = docs.select(*named, *key, utf8("text").alias("_text"))
-    joined = sized_join(rows, runs, ["id", "tie"], "left", total <= BROADCAST_RUNS)
+    joined = rows.join(runs.hint("merge"), ["id", "tie"], "left")  # by shuffle at every size: runs grow with the texts
     rows = joined.select(*[F.col(f"_keep{i}") for i in range(len(keep))], "_text", F.col("runs").alias("_runs"))
     schema = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + [StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_deleted", LongType())])
-    return rows.mapInArrow(partial(_without, schema=to_arrow_schema(schema)), schema)
+    return mapped(rows, partial(_without, schema=to_arrow_schema(schema)), schema)
 
 
 #: The same by content alone, for MIN_WORDS and MIN_LINES as above. Lines count from 1 here.
