@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import pieces, utf8
+from .common import mapped, pieces, utf8
 
 #: Distinct chunks kept a worker; beyond it the cache starts anew, which changes no result.
 CACHE_CHUNKS = 700_000
@@ -54,6 +54,7 @@ class Chunks:
         self.tokenizer, self.most = tokenizer, most
         self.first: dict[str, bytes | None] = {}  # chunks at the start of a text
         self.later: dict[str, bytes | None] = {}  # chunks that a space precedes
+        self.older: dict[int, dict[str, bytes | None]] = {}
         vocabulary = tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -97,9 +98,13 @@ class Chunks:
             first = {x[0] for x in cut}
             for known, chunks, encode in ((self.later, later, self.spaced), (self.first, first, self.whole)):
                 if missing := chunks.difference(known):
-                    if len(known) + len(missing) > self.most:
+                    if len(known) + len(missing) > self.most // 2:  # the older half goes, what this group needs stays
+                        old = self.older[id(known)] = dict(known)
                         known.clear()
                         missing = chunks
+                    else:
+                        old = self.older.get(id(known), {})
+                    known.update((x, old[x]) for x in missing if x in old)
                     self._learn(known, missing, encode)
             for text, (head, *rest) in zip(group, cut, strict=True):
                 found = [self.first[head], *map(self.later.__getitem__, rest)]
@@ -188,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     """The columns ``keep`` of docs and what ``want`` names of OUTPUTS; path is a file that every executor has."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8("text").alias("_text"))
     schema = StructType([rows.schema[c] for c in keep] + list(StructType.fromDDL(", ".join(f"{w} {OUTPUTS[w]}" for w in want))))
-    return rows.mapInArrow(partial(_encoded, schema=to_arrow_schema(schema, prefers_large_types=False), path=path, pattern=pattern, want=want), schema)
+    return mapped(rows, partial(_encoded, schema=to_arrow_schema(schema, prefers_large_types=False), path=path, pattern=pattern, want=want), schema)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -201,4 +206,4 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, decoded bytes, text) of rows with doc_id and ids; null ids give nulls."""
-    return encoded.select(F.col("doc_id").cast("bigint"), "ids").mapInArrow(partial(_decoded, path=path, pattern=pattern), "doc_id bigint, decoded binary, text string")
+    return mapped(encoded.select(F.col("doc_id").cast("bigint"), "ids"), partial(_decoded, path=path, pattern=pattern), "doc_id bigint, decoded binary, text string")

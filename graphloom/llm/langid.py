@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import mapped, pieces, utf8
 
 DIMS = 4096
 #: Centroids a language.
@@ -134,13 +134,13 @@ def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    df = {r["dim"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
+    df = {r["dim"]: r["n"] for r in mapped(rows.select("text"), _frequencies, "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     if not df:
         return Model()
     each = min(SAMPLE_LANGUAGE, SAMPLE_ROWS // len(sizes))
     slot = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("langid")), F.lit(1_000_000))
     wanted = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1_000_000 if n <= each else int(1_000_000 * 0.9 * each / n) + 1)])
-    picked = rows.where(slot < wanted[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, grams bigint, row binary").limit(SAMPLE_ROWS).toPandas()
+    picked = mapped(rows.where(slot < wanted[F.col("lang")]).select("lang", "text"), _features, "lang string, grams bigint, row binary").limit(SAMPLE_ROWS).toPandas()
     picked = picked.sort_values(["lang", "grams", "row"])  # in an order that doesn't depend on the partitions
     n = df.pop(-1)
     seen = np.zeros(DIMS)
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8("text").alias("_text"))
     new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
     schema = StructType([rows.schema[c] for c in keep] + new)
-    return rows.mapInArrow(partial(_predicted, schema=to_arrow_schema(schema), model=model), schema)
+    return mapped(rows, partial(_predicted, schema=to_arrow_schema(schema), model=model), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pieces, share, sized_join, small, utf8
+from .common import components, mapped, pieces, share, utf8
 
 SHINGLE = 5
 THRESHOLD = 80  # percent
@@ -41,8 +41,6 @@ NEIGHBOURS = 8
 #: Common values that candidates beyond the first two need in a crowded region.
 CROWDED_DEPTH = 6
 WORDS_CACHED = 400_000
-#: At most so many ids of documents in candidate pairs are broadcast, as 8 bytes each.
-BROADCAST_IDS = 500_000
 
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,7 +107,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set1, set2, signature): the set's size, its 128-bit digest and its signature."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8("text").alias("text"))
-    return rows.mapInArrow(partial(_signed, k=k), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, signature binary")
+    return mapped(rows, partial(_signed, k=k), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, signature binary")
 
 
 def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +203,12 @@ PAIR_SCHEMA = "a bigint, b bigint, depth int, tree int, k0 bigint, k1 bigint, k2
 
 def candidates(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, depth, trees), a > b, of classes (id, n_shingles, signature); each pair once."""
-    trees = classes.select("id", "n_shingles", "signature").mapInArrow(_planted, TREE_SCHEMA)
+    trees = mapped(classes.select("id", "n_shingles", "signature"), _planted, TREE_SCHEMA)
     ordered = trees.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    found = share(ordered.mapInArrow(partial(_neighbours, threshold=threshold, ends=True), PAIR_SCHEMA), "neighbours")
+    found = share(mapped(ordered, partial(_neighbours, threshold=threshold, ends=True), PAIR_SCHEMA), "neighbours")
     # the rows around the borders of the ranges: a few a partition
     borders = found.where("b is null").select(F.col("a").alias("id"), *ORDER[:-1], "n_shingles").distinct()
-    across = borders.select(*ORDER, "n_shingles").repartition(1).sortWithinPartitions(*ORDER).mapInArrow(partial(_neighbours, threshold=threshold, ends=False), PAIR_SCHEMA)
+    across = mapped(borders.select(*ORDER, "n_shingles").repartition(1).sortWithinPartitions(*ORDER), partial(_neighbours, threshold=threshold, ends=False), PAIR_SCHEMA)
     pairs = found.where("b is not null").select("a", "b", "depth").union(across.select("a", "b", "depth"))
     return share(pairs.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.count("*").alias("trees")), "pairs")
 
@@ -237,15 +235,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     """The pairs (a, b) whose full sets are similar; texts has id and text."""
     left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_confirmed, k=k, threshold=threshold), "a bigint, b bigint")
+    return mapped(both.select("a", "b", "text_a", "text_b"), partial(_confirmed, k=k, threshold=threshold), "a bigint, b bigint")
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """Confirmed pairs of class ids that connect what all candidates would."""
     pairs = candidates(classes, threshold)
-    ids, fits = small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", BROADCAST_IDS)
+    ids = share(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8("text").alias("text")).where("text is not null")
-    texts = sized_join(rows, ids, ["id"], "left_semi", fits)
+    texts = rows.join(ids.hint("merge"), "id", "left_semi")  # by shuffle at every size: ids grow with the texts
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("trees", "depth", -F.col("b"))).alias("b"))
     first = share(confirm(best, texts, k, threshold), "links")
     reached = share(components(first), "reached")
@@ -274,5 +272,5 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """docs without the documents that near_duplicates doesn't keep."""
-    gone, fits = small(near_duplicates(docs, k, threshold).where("not kept").select("doc_id").distinct(), "gone", BROADCAST_IDS)
-    return sized_join(docs, gone, ["doc_id"], "left_anti", fits).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = share(near_duplicates(docs, k, threshold).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, pieces, utf8
+from .common import mapped, pick, pieces, utf8
 
 #: (texts of fewer bytes than this, least ratio, greatest ratio); texts below the first length aren't judged.
 BANDS = (
@@ -126,4 +126,4 @@ def compression_bands(docs: DataFrame, bands: tuple = BANDS, chunk: int = CHUNK_
 
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), utf8("text").alias("text"))
-    return rows.mapInArrow(partial(_judged, schema=schema, bands=bands, chunk=chunk, share=share), SCHEMA)
+    return mapped(rows, partial(_judged, schema=schema, bands=bands, chunk=chunk, share=share), SCHEMA)

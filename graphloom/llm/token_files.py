@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Chunks
-from .common import new_path, pick, pieces, running_totals, sized_join, small, utf8
+from .common import mapped, new_path, pick, pieces, running_totals, sized_join, small, utf8
 
 FRAME_BYTES = 256 << 10
 FILE_BYTES = 8 << 20
@@ -150,7 +150,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
     """Writes docs (doc_id, text) as token files in ascending doc_id order, with the id ``end`` after each document."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), utf8("text").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = dealt.mapInArrow(partial(_built, path=tokenizer, end=end), "body binary")
+    files = mapped(dealt, partial(_built, path=tokenizer, end=end), "body binary")
     (
         files.select(F.col("body").cast("string").alias("value"))
         .write.option("maxRecordsPerFile", 1)
@@ -175,7 +175,7 @@ def _read(batches: Iterator[pa.RecordBatch], wanted: frozenset[int] | None) -> I
 def read(spark: SparkSession, path: str, wanted: frozenset[int] | None = None, ids: bool = True) -> DataFrame:
     """(file, doc_id, start_in_file, n_tokens, ids_crc32, ids) of all documents, or of a given set of wanted ones."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    out = rows.mapInArrow(partial(_read, wanted=wanted), "file string, doc_id bigint, start_in_file bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    out = mapped(rows, partial(_read, wanted=wanted), "file string, doc_id bigint, start_in_file bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     return out if ids else out.drop("ids")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, sized_join, small, utf8
+from .common import mapped, pieces, sized_join, small, utf8
 
 LENGTH, SPAN, DECAY = 3, 5, 0.6
 DIMS = 1 << 15
@@ -233,7 +233,7 @@ def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
     slot = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity")), F.lit(1_000_000))
     share_of = {y: 1_000_000 if n <= SAMPLE_ROWS else int(1_000_000 * SAMPLE_ROWS / n) for y, n in sizes.items()}
     sample = rows.where(slot < F.when(F.col("y") == 1, share_of[1]).otherwise(share_of[0])).select("y", "text")
-    counted = sample.mapInArrow(_word_rows, "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    counted = mapped(sample, _word_rows, "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
     found = counted.where("n >= 2").orderBy(F.desc(F.col("toxic") / F.col("n") * F.log1p("n")), F.desc("n"), "word").limit(VOCABULARY // 4)
     common = counted.where("n >= 2").orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(VOCABULARY // 2)
     rare = counted.where("n = 1 and toxic = 0").orderBy(F.xxhash64("word"), "word").limit(VOCABULARY // 4)
@@ -243,7 +243,7 @@ def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
     if not len(vocabulary):
         return model
     model.cells, model.bias = machine(vocabulary["word"].tolist(), toxic, n - toxic, n_toxic, n_clean)
-    seen = sample.mapInArrow(partial(_evidence, model=model), "y int, x0 double, x1 double, x2 double, x3 double").toPandas()
+    seen = mapped(sample, partial(_evidence, model=model), "y int, x0 double, x1 double, x2 double, x3 double").toPandas()
     y = seen["y"].to_numpy(dtype=float)
     weight = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
     model.curve = logistic(seen[["x0", "x1", "x2", "x3"]].to_numpy(), y, weight / weight.mean())
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8("text").alias("_text"))
     schema = StructType([rows.schema[c] for c in keep] + [StructField("score", DoubleType())])
-    return rows.mapInArrow(partial(_scored, schema=to_arrow_schema(schema), model=model), schema)
+    return mapped(rows, partial(_scored, schema=to_arrow_schema(schema), model=model), schema)
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
