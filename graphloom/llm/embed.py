@@ -1,8 +1,8 @@
 """Embedding near-dedup by collision-counting projections.
 
 Equal vectors form classes first, so a vector that a third of all rows share is one row. Classes are dealt out to the
-cells of a few pivots: a class goes to its nearest pivot and to all whose cosine is within MARGIN of that, so that two
-similar vectors share a cell although the cells' size stays the same as rows grow. Inside a cell each of PROJECTIONS
+cells of its NEAREST nearest pivots, whose number grows with the classes: two similar vectors share at least one of
+several pivots with high probability, and neither copies nor cells grow with the rows. Inside a cell each of PROJECTIONS
 random directions puts all vectors in an order on a line. A window around a query's position in that order holds the
 vectors that collide with it there; a pair that collides in as many orders as a pair at the threshold does with
 probability RECALL is verified by its cosine in double precision.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, share, sized_join, small
+from .common import components, mapped, share, sized_join, small
 
 THRESHOLD = 0.93
 PROJECTIONS = 32
@@ -38,7 +38,8 @@ RECALL = 0.999
 #: Classes a pivot, and pivots at most.
 CELL = 1024
 MOST_PIVOTS = 8192
-MARGIN = 0.15
+#: Pivots a class goes to.
+NEAREST = 4
 TILE = 2048
 #: Queries whose counts are in memory at once.
 QUERIES = 512
@@ -92,7 +93,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) ->
             cells = [0]
             if len(x) in pivots:
                 s = pivots[len(x)] @ unit(x[None, :])[0]
-                cells = np.flatnonzero(s >= s.max() - MARGIN).tolist()
+                cells = np.sort(np.argsort(-s, kind="stable")[:NEAREST]).tolist()
             k = len(cells)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([label] * k, pa.int64()), pa.array([len(x)] * k, pa.int32()), pa.array(cells, pa.int32()), pa.array([cells] * k, pa.list_(pa.int32())), pa.array([ident] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array([raw] * k, pa.binary())],
@@ -167,7 +168,7 @@ def _counted(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of rows with vec_id, embedding and label."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    kept = share(rows.mapInArrow(_vectors, "vec_id bigint, label bigint, d1 bigint, d2 bigint, raw binary"), "vectors", "lz4")
+    kept = share(mapped(rows, _vectors, "vec_id bigint, label bigint, d1 bigint, d2 bigint, raw binary"), "vectors", "lz4")
     usable = kept.where("raw is not null and vec_id is not null")
     classes = share(usable.groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.min("raw").alias("raw")), "classes", "lz4")
     count = classes.count()
@@ -177,7 +178,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     for raw in sample["raw"] if sample is not None else ():
         by_dims.setdefault(len(raw) // 8, []).append(np.frombuffer(bytes(raw), dtype=np.float64))
     pivots = {k: unit(np.stack(v)) for k, v in by_dims.items()}
-    dealt = classes.select("label", "id", "n", "raw").mapInArrow(partial(_dealt, pivots=pivots), "label bigint, dims int, cell int, cells array<int>, id bigint, n bigint, raw binary")
+    dealt = mapped(classes.select("label", "id", "n", "raw"), partial(_dealt, pivots=pivots), "label bigint, dims int, cell int, cells array<int>, id bigint, n bigint, raw binary")
     dealt = share(dealt, "cells", "lz4")
     place = ["label", "dims", "cell"]
     sizes, fits = small(dealt.groupBy(*place).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "tiles")
