@@ -593,3 +593,40 @@ def _(spark, sf_dir):
     overlay = windows.Overlay(spark)
     windows.run_once(windows.read_changes(spark, f"{sf_dir}/{EVENTS}.parquet*", events.schema), overlay.apply)
     return overlay.table().select("user_id", "event_id", "event_type")
+
+
+# the chain-and-hub graph that micro-benchmarks use: N functions in one file, each calling the next, and a hub
+CHAIN = 5000
+CHAIN_SQL = f"""WITH f AS (SELECT i, 'function_' || i AS name FROM range({CHAIN}) t(i)),
+chain AS (SELECT i AS a, i + 1 AS b FROM range({CHAIN} - 1) t(i) UNION ALL SELECT -1, i * 10 FROM range(least(100, {CHAIN} // 10)) t(i))"""
+
+
+def chain_graph(spark: SparkSession, n: int = CHAIN) -> PropertyGraph:
+    name = F.concat(F.lit("function_"), F.col("i"))
+    functions = spark.range(n).select(F.col("id").alias("i")).select(name.alias("id"), F.lit("Function").alias("node_type"), name.alias("name"), F.lit("/src/main.rs").alias("path"))
+    others = spark.createDataFrame([("main.rs", "File", "main.rs", "/src/main.rs"), ("function_-1", "Function", "core_dispatch", "/src/main.rs")], functions.schema)
+    pair = lambda a, b: [F.concat(F.lit("function_"), a).alias("source_id"), F.concat(F.lit("function_"), b).alias("target_id")]
+    calls = spark.range(n - 1).select(F.lit("Calls").alias("edge_type"), *pair(F.col("id"), F.col("id") + 1))
+    hub = spark.range(min(100, n // 10)).select(F.lit("Calls").alias("edge_type"), *pair(F.lit("-1"), F.col("id") * 10))
+    contains = functions.select(F.lit("Contains").alias("edge_type"), F.lit("main.rs").alias("source_id"), F.col("id").alias("target_id"))
+    return PropertyGraph.of(functions.union(others), calls.union(hub).union(contains))
+
+
+@query("chain_find", f"{CHAIN_SQL} SELECT name AS id, 'Function' AS type, name, NULL::VARCHAR AS label FROM f WHERE name = 'function_42'")
+def _(spark, sf_dir):
+    return Executor(chain_graph(spark)).run({"ops": [find(type="Function", name="function_42")]}).nodes
+
+
+@query("chain_prefix", f"{CHAIN_SQL} SELECT name AS id, 'Function' AS type, name, NULL::VARCHAR AS label FROM f WHERE starts_with(name, 'function_1') ORDER BY name, id LIMIT 10")
+def _(spark, sf_dir):
+    return Executor(chain_graph(spark)).run({"ops": [find(name={"starts_with": "function_1"}), {"op": "sort", "by": "name"}, {"op": "limit", "count": 10}]}).nodes
+
+
+@query("chain_two_hop", f"{CHAIN_SQL} SELECT DISTINCT 'function_' || y.b AS id, 'Function' AS type, 'function_' || y.b AS name, NULL::VARCHAR AS label FROM chain x JOIN chain y ON x.b = y.a WHERE x.a = 7 UNION SELECT 'function_8', 'Function', 'function_8', NULL")
+def _(spark, sf_dir):
+    return Executor(chain_graph(spark)).run({"ops": [find(name="function_7"), connect("Calls", depth={"min": 1, "max": 2})]}).nodes
+
+
+@query("chain_three_hop_hub", f"{CHAIN_SQL}, one AS (SELECT b FROM chain WHERE a = -1), two AS (SELECT c.b FROM one JOIN chain c ON c.a = one.b), three AS (SELECT c.b FROM two JOIN chain c ON c.a = two.b) SELECT DISTINCT 'function_' || b AS id, 'Function' AS type, 'function_' || b AS name, NULL::VARCHAR AS label FROM (SELECT b FROM one UNION SELECT b FROM two UNION SELECT b FROM three)")
+def _(spark, sf_dir):
+    return Executor(chain_graph(spark)).run({"ops": [find(name="core_dispatch"), connect("Calls", depth={"min": 1, "max": 3})]}).nodes
