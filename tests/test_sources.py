@@ -90,3 +90,13 @@ def test_streams(spark, tmp_path):
     stream = windows.deduplicated(windows.read_changes(spark, path, df.schema, 10), ["event_id"])
     windows.run_once(stream, lambda b, n: seen.extend(r["event_id"] for r in b.collect()))
     assert sorted(seen) == list(range(6))
+
+
+def test_symbols(spark):
+    from graphloom.sources import symbols
+
+    rows = [("/p/a.py", "A", "Class", None, 1, 9), ("/p/a.py", "f", "Method", "A", 2, 3), ("/p/a.py", "x", "Field", "A", 4, 4), ("/p/a.py", "e", "Event", None, 5, 5)]
+    nodes, edges = symbols.symbol_nodes(spark.createDataFrame(rows, "path string, name string, kind string, parent string, line_start int, line_end int"))
+    assert {(r["name"], r["node_type"]) for r in nodes.collect()} == {("A", "Class"), ("f", "Method"), ("e", "Module"), ("a.py", "File")}
+    by = {r["id"]: r["name"] for r in nodes.collect()}
+    assert {(by[r["source_id"]], by[r["target_id"]]) for r in edges.collect()} == {("a.py", "A"), ("A", "f"), ("a.py", "e")}
