@@ -31,10 +31,11 @@ from pyspark.sql.types import StructType
 from .common import mapped, pieces, utf8
 
 #: Distinct chunks kept a worker; beyond it the cache starts anew, which changes no result.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 1_000_000
 #: Texts whose new chunks go through the library together.
 GROUP = 32
 MARKS = ".,;:!?"
+NEW = b"new"  # what stands for the ids of a chunk that isn't known
 
 OUTPUTS = {
     "n_tokens": "bigint",
@@ -90,24 +91,34 @@ class Chunks:
         known.update(zip(rest, encode(rest), strict=True))
         known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in marked)
 
+    def _found(self, known: dict[str, bytes | None], chunks: list[list[str]], encode) -> list[list[bytes | None]]:
+        """What is known of each chunk of each text, once all new ones have been learned."""
+        found = [list(map(known.get, x, itertools.repeat(NEW))) for x in chunks]
+        places = [[i for i, ids in enumerate(f) if ids is NEW] for f in found]
+        missing = {x[i] for x, at in zip(chunks, places, strict=True) for i in at}
+        if not missing:
+            return found
+        if len(known) + len(missing) > self.most // 2:  # the older half goes
+            old = self.older[id(known)] = dict(known)
+            known.clear()
+        else:
+            old = self.older.get(id(known), {})
+        if old:
+            known.update((x, old[x]) for x in missing if x in old)
+        self._learn(known, missing, encode)
+        for x, f, at in zip(chunks, found, places, strict=True):
+            for i in at:
+                f[i] = known[x[i]]
+        return found
+
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         texts = iter(texts)
         while group := list(itertools.islice(texts, GROUP)):
             cut = [x.split(" ") for x in group]
-            later: set[str] = set().union(*(x[1:] for x in cut))
-            first = {x[0] for x in cut}
-            for known, chunks, encode in ((self.later, later, self.spaced), (self.first, first, self.whole)):
-                if missing := chunks.difference(known):
-                    if len(known) + len(missing) > self.most // 2:  # the older half goes, what this group needs stays
-                        old = self.older[id(known)] = dict(known)
-                        known.clear()
-                        missing = chunks
-                    else:
-                        old = self.older.get(id(known), {})
-                    known.update((x, old[x]) for x in missing if x in old)
-                    self._learn(known, missing, encode)
-            for text, (head, *rest) in zip(group, cut, strict=True):
-                found = [self.first[head], *map(self.later.__getitem__, rest)]
+            first = self._found(self.first, [x[:1] for x in cut], self.whole)
+            later = self._found(self.later, [x[1:] for x in cut], self.spaced)
+            for text, head, rest in zip(group, first, later, strict=True):
+                found = head + rest
                 yield b"" if not text else self.whole([text])[0] if None in found else b"".join(found)
 
 
@@ -134,7 +145,7 @@ def tokenizer_of(ranks: dict[bytes, int], pattern: str):
     for token in sorted(ranks, key=ranks.__getitem__):
         cuts = [(token[:i], token[i:]) for i in range(1, len(token))]
         merges += [(name[a], name[b]) for a, b in cuts if a in ranks and b in ranks]
-    out = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+    out = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0))
     out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), behavior="isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return out
 

@@ -16,6 +16,7 @@ with one doc_id follow one another by their texts; further columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -122,9 +123,15 @@ class TokenFile:
 @cache
 def loaded(path: str) -> Chunks:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, models
 
     tokenizer = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        model = json.load(f)["model"]
+    if model.get("type", "BPE") == "BPE":  # Chunks has a cache of its own
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        options = {k: model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)}
+        tokenizer.model = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **options)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return Chunks(tokenizer)
 
