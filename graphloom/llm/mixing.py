@@ -116,10 +116,10 @@ WITH sized AS (
 ), leveled AS (
   SELECT *, (all_size - 3 * size_before)::DOUBLE / (all_weight - weight_before)::DOUBLE AS level FROM run
 ), chosen AS (
-  SELECT level AS at FROM leveled WHERE level * weight <= 3 * source_size AND level >= 0
+  SELECT level AS lvl FROM leveled WHERE level * weight <= 3 * source_size AND level >= 0
   ORDER BY a_weight, (source IS NULL), encode(source) LIMIT 1
 ), aimed AS (
-  SELECT source, source_size, least(coalesce(at * weight, (3 * source_size)::DOUBLE), (3 * source_size)::DOUBLE) AS target
+  SELECT source, source_size, least(coalesce(lvl * weight, (3 * source_size)::DOUBLE), (3 * source_size)::DOUBLE) AS target
   FROM leveled LEFT JOIN chosen ON true
 ), coins AS (
   SELECT s.doc_id, s.size, a.source_size, a.target,
