@@ -25,13 +25,13 @@ from .common import mapped, pick, pieces, utf8
 #: (texts of fewer bytes than this, least ratio, greatest ratio); texts below the first length aren't judged.
 BANDS = (
     (128, 0.0, 99.0),
-    (256, 0.42, 1.20),
-    (512, 0.38, 1.00),
-    (1024, 0.34, 0.92),
-    (2048, 0.31, 0.87),
-    (4096, 0.28, 0.84),
-    (8192, 0.25, 0.82),
-    (1 << 62, 0.22, 0.80),
+    (256, 0.42, 1.15),
+    (512, 0.38, 0.95),
+    (1024, 0.34, 0.84),
+    (2048, 0.31, 0.76),
+    (4096, 0.28, 0.72),
+    (8192, 0.25, 0.70),
+    (1 << 62, 0.22, 0.68),
 )
 CHUNK_BYTES = 4096
 #: A text fails if over this share of its bytes lies in chunks that are outside their bands.
