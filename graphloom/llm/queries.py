@@ -70,7 +70,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
-    model = toxicity.fit(toxicity.with_labels(docs.where("not held_out"), table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs.where("not held_out"), table(spark, sf_dir, "labels").where(~langid.held_out()))
     return toxicity.score(docs, model, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, sized_join, small, utf8
+from .common import mapped, pieces, share, utf8
 
 LENGTH, SPAN, DECAY = 3, 5, 0.6
 DIMS = 1 << 15
@@ -222,17 +222,22 @@ def machine(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int
     return (table @ (root @ w[:-1])).astype(np.float64), float(w[-1])
 
 
-def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
-    """From rows with text and toxic (0 or 1)."""
-    rows = labelled.where(F.col("toxic").isin(0, 1)).select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("y"), utf8("text").alias("text"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """From docs (doc_id, text) and labels (doc_id, toxic). The sample is drawn from the labels by a hash of the id.
+
+    Its rows, about SAMPLE_ROWS a class whatever the tables' size, are all that is broadcast. A document with both
+    labels counts as each.
+    """
+    marks = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
+    sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     model = Model(prior=sizes.get(1, 0) / total if total else 0.0)
     if len(sizes) < 2:
         return model
-    slot = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity")), F.lit(1_000_000))
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000))
     share_of = {y: 1_000_000 if n <= SAMPLE_ROWS else int(1_000_000 * SAMPLE_ROWS / n) for y, n in sizes.items()}
-    sample = rows.where(slot < F.when(F.col("y") == 1, share_of[1]).otherwise(share_of[0])).select("y", "text")
+    picked = marks.where(slot < F.when(F.col("y") == 1, share_of[1]).otherwise(share_of[0]))
+    sample = share(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", utf8("text").alias("text")), "sample")
     counted = mapped(sample, _word_rows, "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
     found = counted.where("n >= 2").orderBy(F.desc(F.col("toxic") / F.col("n") * F.log1p("n")), F.desc("n"), "word").limit(VOCABULARY // 4)
     common = counted.where("n >= 2").orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(VOCABULARY // 2)
@@ -272,8 +277,3 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     schema = StructType([rows.schema[c] for c in keep] + [StructField("score", DoubleType())])
     return mapped(rows, partial(_scored, schema=to_arrow_schema(schema), model=model), schema)
 
-
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text) that have a label, with it; a document with several labels counts as each says."""
-    marks, fits = small(labels.select("doc_id", "toxic").where("toxic in (0, 1)").distinct(), "labels", 1_000_000)
-    return sized_join(docs.select("doc_id", "text"), marks, ["doc_id"], "inner", fits)
