@@ -104,16 +104,15 @@ def _dealt(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) ->
 def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
     """How many projections put row j of b into the window around row i of a: counts[i, j]."""
     counts = np.zeros((len(a), len(b)), dtype=np.uint8)
+    place = np.empty(len(b), dtype=np.uint16)  # a tile has fewer rows than 2**16
     for k in range(a.shape[1]):
         order = np.argsort(b[:, k], kind="stable")
         line = b[order, k]
-        begin, end = np.searchsorted(line, a[:, k] - half, "left"), np.searchsorted(line, a[:, k] + half, "right")
-        # +1 where a window begins and -1 behind it: the running sum over the sorted line marks who collides
-        edge = np.zeros((len(a), len(b) + 1), dtype=np.int8)
-        rows = np.arange(len(a))
-        edge[rows, begin] += 1
-        np.subtract.at(edge, (rows, end), 1)
-        counts[:, order] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8).view(np.uint8)
+        place[order] = np.arange(len(b), dtype=np.uint16)
+        begin = np.searchsorted(line, a[:, k] - half, "left").astype(np.uint16)
+        width = np.searchsorted(line, a[:, k] + half, "right").astype(np.uint16) - begin
+        # places before the window wrap around to large numbers
+        counts += place[None, :] - begin[:, None] < width[:, None]
     return counts
 
 
