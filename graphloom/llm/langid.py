@@ -151,8 +151,11 @@ def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
     model.centroids, model.owner = np.concatenate(groups), np.repeat(np.arange(len(groups)), [len(g) for g in groups])
     best, length = model.similarities(x).max(axis=1), np.searchsorted(LENGTHS, picked["grams"].to_numpy())
     by_length = [best[length == k] for k in range(len(LENGTHS) + 1)]
-    # lengths with few labelled texts say nothing on what is far
-    model.limits = [REJECT_PART * float(np.quantile(b, REJECT_QUANTILE)) if len(b) >= LEAST_TEXTS else 0.0 for b in by_length]
+    # longer texts lie nearer, so a length with few labelled texts takes the limit of the next shorter one
+    limit = 0.0
+    for b in by_length:
+        limit = REJECT_PART * float(np.quantile(b, REJECT_QUANTILE)) if len(b) >= LEAST_TEXTS else limit
+        model.limits.append(limit)
     return model
 
 

@@ -13,8 +13,8 @@ nearly all of a dense group by as many pairs as it has rows; the second confirms
 yet in one component. No candidate is given up.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept; one with
-fewer words than a shingle has its whole sequence as the only shingle; rows that share a doc_id are one node, linked
-whatever their texts, and stand or fall together; rows with a null doc_id get a null component and are kept.
+fewer words than a shingle has its whole sequence as the only shingle; equal rows stay or go together; rows that share
+a doc_id but not a text are judged each by its text; rows with a null doc_id get a null component and are kept.
 """
 
 from __future__ import annotations
@@ -99,15 +99,15 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             second.append(int(digest[1]))
             rows.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(rows, pa.binary())],
-            names=["doc_id", "n_shingles", "set1", "set2", "signature"],
+            [batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(rows, pa.binary())],
+            names=["doc_id", "tie", "n_shingles", "set1", "set2", "signature"],
         )
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set1, set2, signature): the set's size, its 128-bit digest and its signature."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8("text").alias("text"))
-    return mapped(rows, partial(_signed, k=k), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, signature binary")
+    """(doc_id, tie, n_shingles, set1, set2, signature): the text's hash, the set's size, its digest and its signature."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("tie"), utf8("text").alias("text"))
+    return mapped(rows, partial(_signed, k=k), "doc_id bigint, tie bigint, n_shingles bigint, set1 bigint, set2 bigint, signature binary")
 
 
 def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,21 +256,27 @@ def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFr
     return first.union(second)
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id that links reach."""
+def judged(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(doc_id, tie, n_shingles, component_id, kept) of each row."""
     signed = share(signatures(docs, k), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = share(full.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
     reached = components(links(docs, classes, k, threshold))
     at = classes.select("set1", "set2", "id").join(reached.withColumnRenamed("node", "id"), "id", "left")
     at = at.select("set1", "set2", F.coalesce("component", "id").alias("_component"))
-    out = signed.select("doc_id", "n_shingles", "set1", "set2").join(at, ["set1", "set2"], "left")
+    out = signed.select("doc_id", "tie", "n_shingles", "set1", "set2").join(at, ["set1", "set2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id that links reach."""
+    return judged(docs, k, threshold).drop("tie")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """docs without the documents that near_duplicates doesn't keep."""
-    gone = share(near_duplicates(docs, k, threshold).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows that near_duplicates doesn't keep."""
+    gone = share(judged(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_tie")).distinct(), "gone")
+    same = (docs["doc_id"].cast("bigint") == F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_tie"))
+    return docs.join(gone.hint("merge"), same, "left_anti")

@@ -85,8 +85,18 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(whose), np.concatenate(cells), np.concatenate(weights)
 
 
-def norms(n: int, whose: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(np.bincount(whose, weights**2, n), 1e-9))
+def norms(n: int, whose: np.ndarray, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The lengths of the words' feature vectors; only words that repeat a subsequence need their features summed up."""
+    squares = np.bincount(whose, weights**2, n)
+    key = whose * DIMS + cells
+    ordered = np.sort(key)
+    repeated = np.zeros(n, dtype=bool)
+    repeated[ordered[1:][ordered[1:] == ordered[:-1]] // DIMS] = True
+    if repeated.any():
+        some = repeated[whose]
+        each, at = np.unique(key[some], return_inverse=True)
+        squares[repeated] = np.bincount(each // DIMS, np.bincount(at, weights[some]) ** 2, n)[repeated]
+    return np.sqrt(np.maximum(squares, 1e-9))
 
 
 def kernel_rows(words: list[str], table: np.ndarray) -> np.ndarray:
@@ -100,7 +110,7 @@ def kernel_rows(words: list[str], table: np.ndarray) -> np.ndarray:
         if len(whose):
             first = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
             out[begin + whose[first]] = np.add.reduceat(table[cells] * weights[:, None], first, axis=0)
-        out[begin : begin + len(part)] /= norms(len(part), whose, weights)[:, None]
+        out[begin : begin + len(part)] /= norms(len(part), whose, cells, weights)[:, None]
     return out
 
 
@@ -151,7 +161,7 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         whose, cells, weights = features(words)
-        return np.bincount(whose, self.cells[cells] * weights, len(words)) / norms(len(words), whose, weights) + self.bias
+        return np.bincount(whose, self.cells[cells] * weights, len(words)) / norms(len(words), whose, cells, weights) + self.bias
 
 
 class Scorer:

@@ -21,7 +21,7 @@ def pages(spark):
         # a class with a block and an explicit allow
         (x.format("c.org/1"), CANON.format("http://b.net/es/2")), (x.format("c.org/2"), CANON.format("https://c.org/1")), (x.format("c.org/2"), REFRESH.format("http://www.example.com/en/z")),
         # an allow of its own outlives a blocked class
-        ("http://www.example.com/en/own", CANON.format("http://b.net/fr/9")),
+        ("http://www.example.com/en/own", CANON.format("http://b.net/fr/10")),
         (x.format("d.org/dir/p"), CANON.format("q")), (x.format("d.org/x"), "<link rel=canonical>"), (x.format("e.org"), CANON.format("//f.org/y")), ("HTTP://UP.net/ES/", ""), (x.format("a.org/1"), ""),
     ]
     return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], SCHEMA)
