@@ -10,7 +10,9 @@ tree with probability 1 - (1 - 0.8**DEPTH)**TREES, over 0.9999; pairs that sizes
 
 Candidates are confirmed on full sets in two rounds. The first confirms each row's best candidate, which connects
 nearly all of a dense group by as many pairs as it has rows; the second confirms all other pairs whose ends are not
-yet in one component. No candidate is given up.
+yet in one component. A crowded region may still hold rows outside its largest component. Those are compared with all
+rows of the region by whole signatures, in tiles of bounded size, and pairs with LEAST_EQUAL common values or more
+are confirmed in two rounds as well. No candidate is given up.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept; one with
 fewer words than a shingle has its whole sequence as the only shingle; equal rows stay or go together; rows that share
@@ -40,6 +42,9 @@ VALUES = TREES * DEPTH
 NEIGHBOURS = 8
 #: Common values that candidates beyond the first two need in a crowded region.
 CROWDED_DEPTH = 6
+#: Common values of VALUES that a pair of a crowded region needs: four standard deviations below a similarity of 0.8.
+LEAST_EQUAL = 50
+TILE = 512
 WORDS_CACHED = 400_000
 
 _RNG = np.random.default_rng(20)
@@ -144,7 +149,11 @@ def common_values(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], threshold: int, ends: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a sorted run of rows; with ``ends``, also its first and last rows, without a partner."""
+    """Candidate pairs of a sorted run of rows.
+
+    With ``ends``, also rows without a partner: the run's first and last ones with depth 0, and all rows of crowded
+    regions with depth -1.
+    """
     names = [*ORDER, "n_shingles"]
     before: dict[str, np.ndarray] | None = None  # the last rows of the batches so far
     head_of = None  # (tree, k0, k1, id, n, rows so far) of the open region
@@ -187,13 +196,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch], threshold: int, ends: bool) -
         ok = (a != b) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
         if ok.any():
             yield rows(np.maximum(a, b)[ok], np.minimum(a, b)[ok], depth[ok])
+        if ends and (place[lead:] > NEIGHBOURS).any():
+            full = np.flatnonzero(place == NEIGHBOURS + 1)
+            full = full[full >= lead]  # here a region becomes a crowd: with the rows before
+            at = np.concatenate([(full[:, None] - np.arange(NEIGHBOURS + 2)).ravel(), lead + np.flatnonzero(place[lead:] > NEIGHBOURS + 1)])
+            crowd = {c: x[c][at] for c in names}
+            yield rows(crowd["id"], None, np.full(len(at), -1, dtype=np.int32), crowd)
         if ends and first_rows < NEIGHBOURS:
             part = {c: new[c][: NEIGHBOURS - first_rows] for c in names}
             first_rows += len(part["id"])
             yield rows(part["id"], None, np.zeros(len(part["id"]), dtype=np.int32), part)
         last = total - 1
         head_of = tuple(int(v) for v in (x["tree"][last], x["k0"][last], x["k1"][last], head_id[last], head_n[last], place[last] + 1))
-        before = {c: x[c][-NEIGHBOURS:] for c in names}
+        before = {c: x[c][-NEIGHBOURS - 1 :] for c in names}
     if ends and before is not None:
         yield rows(before["id"], None, np.zeros(len(before["id"]), dtype=np.int32), before)
 
@@ -201,16 +216,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch], threshold: int, ends: bool) -
 PAIR_SCHEMA = "a bigint, b bigint, depth int, tree int, k0 bigint, k1 bigint, k2 bigint, k3 bigint, tail bigint, n_shingles bigint"
 
 
-def candidates(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, depth, trees), a > b, of classes (id, n_shingles, signature); each pair once."""
+def candidates(classes: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(a, b, depth, trees), a > b, of classes (id, n_shingles, signature), each pair once; (region, id) of crowds."""
     trees = mapped(classes.select("id", "n_shingles", "signature"), _planted, TREE_SCHEMA)
     ordered = trees.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
     found = share(mapped(ordered, partial(_neighbours, threshold=threshold, ends=True), PAIR_SCHEMA), "neighbours")
     # the rows around the borders of the ranges: a few a partition
-    borders = found.where("b is null").select(F.col("a").alias("id"), *ORDER[:-1], "n_shingles").distinct()
+    borders = found.where("b is null and depth = 0").select(F.col("a").alias("id"), *ORDER[:-1], "n_shingles").distinct()
     across = mapped(borders.select(*ORDER, "n_shingles").repartition(1).sortWithinPartitions(*ORDER), partial(_neighbours, threshold=threshold, ends=False), PAIR_SCHEMA)
     pairs = found.where("b is not null").select("a", "b", "depth").union(across.select("a", "b", "depth"))
-    return share(pairs.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.count("*").alias("trees")), "pairs")
+    crowds = found.where("b is null and depth = -1").select(F.xxhash64("tree", "k0", "k1").alias("region"), F.col("a").alias("id"))
+    return share(pairs.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.count("*").alias("trees")), "pairs"), crowds
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -238,22 +254,73 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     return mapped(both.select("a", "b", "text_a", "text_b"), partial(_confirmed, k=k, threshold=threshold), "a bigint, b bigint")
 
 
+def _alike(key: tuple, table: pa.Table, threshold: int) -> pa.Table:
+    """Of a pair of tiles: (q, a, b, equal) of queries and rows of other components with enough common values."""
+    ids, at, n = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+    asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    values = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    equal = np.zeros((len(left), len(right)), dtype=np.uint8)
+    for k in range(VALUES):
+        equal += values[left, k][:, None] == values[right, k][None, :]
+    low, high = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+    i, j = np.nonzero((equal >= LEAST_EQUAL) & (at[left][:, None] != at[right][None, :]) & (100 * low >= threshold * high))
+    q, r = ids[left[i]], ids[right[j]]
+    return pa.table({"q": pa.array(q, pa.int64()), "a": pa.array(np.maximum(q, r), pa.int64()), "b": pa.array(np.minimum(q, r), pa.int64()), "equal": pa.array(equal[i, j].astype(np.int32))})
+
+
+def apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """Those pairs whose ends are not in one component."""
+    for end in ("a", "b"):
+        pairs = pairs.join(reached.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")), end, "left")
+    return pairs.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).drop("at_a", "at_b")
+
+
+def crowd_pairs(crowds: DataFrame, classes: DataFrame, reached: DataFrame, threshold: int) -> DataFrame:
+    """(q, a, b, equal): rows outside their crowd's largest component, against all rows of the crowd."""
+    at = crowds.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    at = share(at, "crowds")
+    parts = at.groupBy("region", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_rows = share(at.join(main.select("region", "main"), "region").withColumn("asks", F.col("component") != F.col("main")).drop("main"), "open")
+    tiles = open_rows.groupBy("region").agg(F.ceil(F.count_if("asks") / TILE).cast("int").alias("ask_tiles"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    full = open_rows.join(tiles, "region").join(classes.select("id", "n_shingles", "signature"), "id")
+    spread = lambda n: F.pmod(F.xxhash64("id", F.lit("tile")), F.col(n)).cast("int")
+    some = ["region", "id", "component", "n_shingles", "signature"]
+    asking = full.where("asks").select(*some, F.lit(True).alias("asks"), spread("ask_tiles").alias("one"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("two"))
+    asked = full.select(*some, F.lit(False).alias("asks"), spread("tiles").alias("two"), F.explode(F.sequence(F.lit(0), F.col("ask_tiles") - 1)).alias("one"))
+
+    def alike(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _alike(key, table, threshold)
+
+    found = asking.unionByName(asked).groupBy("region", "one", "two").applyInArrow(alike, "q bigint, a bigint, b bigint, equal int")
+    return found.groupBy("a", "b").agg(F.max("q").alias("q"), F.max("equal").alias("equal"))
+
+
 def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """Confirmed pairs of class ids that connect what all candidates would."""
-    pairs = candidates(classes, threshold)
-    ids = share(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    pairs, crowds = candidates(classes, threshold)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8("text").alias("text")).where("text is not null")
-    texts = rows.join(ids.hint("merge"), "id", "left_semi")  # by shuffle at every size: ids grow with the texts
+
+    ids = share(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowds.select("id")).distinct(), "ids")
+    # by shuffle at every size, since ids grow with the texts
+    texts = share(rows.join(ids.hint("merge"), "id", "left_semi"), "texts")
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        return share(confirm(some, texts, k, threshold), "links")
+
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("trees", "depth", -F.col("b"))).alias("b"))
-    first = share(confirm(best, texts, k, threshold), "links")
-    reached = share(components(first), "reached")
-    ends = pairs.select("a", "b")
-    for end in ("a", "b"):
-        ends = ends.join(reached.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")), end, "left")
-    apart = F.coalesce("at_a", "a") != F.coalesce("at_b", "b")
-    rest = share(ends.where(apart).select("a", "b").join(best, ["a", "b"], "left_anti"), "rest")
-    second = share(confirm(rest, texts, k, threshold), "links")
-    return first.union(second)
+    found = confirmed(best)
+    rest = share(apart(pairs.select("a", "b"), share(components(found), "reached")).join(best, ["a", "b"], "left_anti"), "rest")
+    found = found.union(confirmed(rest))
+    reached = share(components(found), "reached")
+    more = share(crowd_pairs(crowds, classes, reached, threshold).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "crowd_pairs")
+    if not more.limit(1).count():
+        return found
+    best = more.groupBy("q").agg(F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b"))).alias("x")).select("x.a", "x.b").distinct()
+    found = found.union(confirmed(best))
+    rest = share(apart(more.select("a", "b"), share(components(found), "reached")).join(best, ["a", "b"], "left_anti"), "rest")
+    return found.union(confirmed(rest))
 
 
 def judged(docs: DataFrame, k: int, threshold: int) -> DataFrame:
