@@ -13,6 +13,8 @@ from ..graph import PropertyGraph
 from ..runtime import BROADCAST_ROWS, share
 
 MOST_HOPS = 200
+#: Up to so many hops are one lazy plan, without any job on the way.
+LAZY_HOPS = 2
 
 
 def reach(starts: DataFrame, steps: DataFrame, most: int = MOST_HOPS, least: int = 1, per_start: bool = False, carry: bool = False) -> DataFrame:
@@ -24,18 +26,29 @@ def reach(starts: DataFrame, steps: DataFrame, most: int = MOST_HOPS, least: int
     key = ["start", "id"] if per_start else ["id"]
     origin = F.col("start") if carry else F.col("id")
     frontier = starts.select(*([origin.alias("start")] if per_start else []), "id").distinct()
+    met, rounds = None, []
+
+    def hop(front: DataFrame) -> DataFrame:
+        after = steps.join(front.withColumnRenamed("id", "source"), "source")
+        after = after.select(*(["start"] if per_start else []), F.col("target").alias("id")).distinct()
+        return after if met is None else after.join(met, key, "left_anti")
+
+    if most <= LAZY_HOPS:
+        for depth in range(1, most + 1):
+            frontier = hop(frontier)
+            rounds.append(frontier.withColumn("depth", F.lit(depth)))
+            met = frontier if met is None else met.union(frontier)
+        out = rounds[0] if rounds else frontier.where(F.lit(False)).withColumn("depth", F.lit(0))
+        for r in rounds[1:]:
+            out = out.union(r)
+        return out.where(F.col("depth") >= least)
     frontier = share(frontier, "frontier")
-    size, met, rounds = frontier.count(), None, []
-    steps = share(steps, "steps") if most > 2 else steps
+    size = frontier.count()
+    steps = share(steps, "steps")
     for depth in range(1, most + 1):
         if not size:
             break
-        front = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
-        after = steps.join(front.withColumnRenamed("id", "source"), "source")
-        after = after.select(*(["start"] if per_start else []), F.col("target").alias("id")).distinct()
-        if met is not None:
-            after = after.join(met, key, "left_anti")
-        frontier = share(after, "frontier")
+        frontier = share(hop(F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier), "frontier")
         size = frontier.count()
         rounds.append(frontier.withColumn("depth", F.lit(depth)))
         met = frontier if met is None else met.union(frontier)
