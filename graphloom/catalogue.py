@@ -630,3 +630,55 @@ def _(spark, sf_dir):
 @query("chain_three_hop_hub", f"{CHAIN_SQL}, one AS (SELECT b FROM chain WHERE a = -1), two AS (SELECT c.b FROM one JOIN chain c ON c.a = one.b), three AS (SELECT c.b FROM two JOIN chain c ON c.a = two.b) SELECT DISTINCT 'function_' || b AS id, 'Function' AS type, 'function_' || b AS name, NULL::VARCHAR AS label FROM (SELECT b FROM one UNION SELECT b FROM two UNION SELECT b FROM three)")
 def _(spark, sf_dir):
     return Executor(chain_graph(spark)).run({"ops": [find(name="core_dispatch"), connect("Calls", depth={"min": 1, "max": 3})]}).nodes
+
+
+# reports on symbols and files
+@query("explain_symbol", f"{G}{CO} SELECT d.id, n.node_type, n.name, n.path, n.signature, n.docstring, i::BIGINT AS fan_in, o::BIGINT AS fan_out, round(anchor, 6) AS anchor_score, co::BIGINT AS partners FROM debts d JOIN nodes n ON n.id = d.id WHERE d.id = '{PART}'")
+def _(spark, sf_dir):
+    g = metrics.enrich(tables.graph(spark, sf_dir, co_changes=True))
+    return impact.explain_symbol(g, PART).withColumn("anchor_score", F.round("anchor_score", 6))
+
+
+@query("summed_partners", f"{G}, ends AS (SELECT file1 AS id, file2 AS other, n FROM co_pairs WHERE n >= 2 UNION ALL SELECT file2, file1, n FROM co_pairs WHERE n >= 2) SELECT other AS id, sum(n)::DOUBLE AS weight FROM ends WHERE id IN (SELECT id FROM shown WHERE label = 'deprecated') GROUP BY 1 ORDER BY weight DESC, id LIMIT 5")
+def _(spark, sf_dir):
+    g = tables.graph(spark, sf_dir, co_changes=True)
+    return cochange.summed_partners(g, g.nodes.where("is_deprecated").select("id"))
+
+
+@query("compare_modules", f"{G}{CO} SELECT id, name, round(anchor, 6) AS anchor_score, o::BIGINT AS edges FROM debts WHERE id IN ('part:7', 'part:8')")
+def _(spark, sf_dir):
+    g = metrics.enrich(tables.graph(spark, sf_dir, co_changes=True))
+    return architecture.compare_modules(g, "part:7", "part:8").select("id", "name", F.round("anchor_score", 6).alias("anchor_score"), "edges")
+
+
+@query("entry_points", f"{G} SELECT id, name, path FROM nodes WHERE name IN ('ASIA', 'EUROPE')")
+def _(spark, sf_dir):
+    return metrics.entry_points(tables.graph(spark, sf_dir), ("ASIA", "EUROPE"))
+
+
+@query("prewarm_anchors", f"{G} SELECT id, name FROM scored WHERE embedding IS NULL ORDER BY anchor_score DESC, id LIMIT 20")
+def _(spark, sf_dir):
+    return semantic.prewarm(scored(spark, sf_dir)).select("id", "name")
+
+
+@query("code_snippet", "SELECT i::BIGINT AS line, line AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id = 3) WHERE i BETWEEN 1 AND 5")
+def _(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return impact.snippet(docs, "3", 3, 2)
+
+
+@query("list_dir", f"{G} SELECT string_split(substr(path, 6), '/')[1] AS name, bool_or(contains(substr(path, 6), '/')) AS is_dir FROM nodes WHERE starts_with(path, 'ASIA/') GROUP BY 1")
+def _(spark, sf_dir):
+    return extract.list_dir(tables.graph(spark, sf_dir).nodes.select("path"), "ASIA")
+
+
+@query("find_files", f"{G} SELECT DISTINCT path FROM nodes WHERE regexp_full_match(path, '[^/]*/NATION_1[^/]/[^/]*')")
+def _(spark, sf_dir):
+    return extract.find_files(tables.graph(spark, sf_dir).nodes.select("path").distinct(), "*/NATION_1?/*")
+
+
+@query("health", f"{G} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, 0::BIGINT AS overlay_count")
+def _(spark, sf_dir):
+    from .operators import tools
+
+    return tools.call("get_health", tables.graph(spark, sf_dir)).drop("last_commit")
