@@ -10,9 +10,9 @@ tree with probability 1 - (1 - 0.8**DEPTH)**TREES, over 0.9999; pairs that sizes
 
 Candidates are confirmed on full sets in two rounds. The first confirms each row's best candidate, which connects
 nearly all of a dense group by as many pairs as it has rows; the second confirms all other pairs whose ends are not
-yet in one component. A crowded region may still hold rows outside its largest component. Those are compared with all
-rows of the region by whole signatures, in tiles of bounded size, and pairs with LEAST_EQUAL common values or more
-are confirmed in two rounds as well. No candidate is given up.
+yet in one component. A crowded region may still hold rows outside its largest component. Regions that share rows make
+a crowd, and its rows outside its largest component are compared with all of its rows on full sets, in tiles of bounded
+size that return links alone, never pairs. No candidate is given up.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept; one with
 fewer words than a shingle has its whole sequence as the only shingle; equal rows stay or go together; rows that share
@@ -42,9 +42,8 @@ VALUES = TREES * DEPTH
 NEIGHBOURS = 8
 #: Common values that candidates beyond the first two need in a crowded region.
 CROWDED_DEPTH = 6
-#: Common values of VALUES that a pair of a crowded region needs: four standard deviations below a similarity of 0.8.
-LEAST_EQUAL = 50
-TILE = 512
+#: Rows of a tile of a crowd.
+TILE = 256
 WORDS_CACHED = 400_000
 
 _RNG = np.random.default_rng(20)
@@ -254,73 +253,96 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     return mapped(both.select("a", "b", "text_a", "text_b"), partial(_confirmed, k=k, threshold=threshold), "a bigint, b bigint")
 
 
-def _alike(key: tuple, table: pa.Table, threshold: int) -> pa.Table:
-    """Of a pair of tiles: (q, a, b, equal) of queries and rows of other components with enough common values."""
-    ids, at, n = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+def _linked(key: tuple, table: pa.Table, k: int, threshold: int) -> pa.Table:
+    """(a, b) of a pair of tiles: for each asking row one link to each other component that it is similar to.
+
+    The shingles of the tiles are numbered, so all intersections of a block are one product of 0-1 matrices.
+    """
+    known = WordHashes()
+    ids, at = table.column("id").to_numpy(), table.column("component").to_numpy()
     asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-    values = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
+    sets = [shingle_set(x, k, known) for x in table.column("text").to_pylist()]
+    n = np.array([len(x) for x in sets], dtype=np.float64)
     left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-    equal = np.zeros((len(left), len(right)), dtype=np.uint8)
-    for k in range(VALUES):
-        equal += values[left, k][:, None] == values[right, k][None, :]
-    low, high = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-    i, j = np.nonzero((equal >= LEAST_EQUAL) & (at[left][:, None] != at[right][None, :]) & (100 * low >= threshold * high))
-    q, r = ids[left[i]], ids[right[j]]
-    return pa.table({"q": pa.array(q, pa.int64()), "a": pa.array(np.maximum(q, r), pa.int64()), "b": pa.array(np.minimum(q, r), pa.int64()), "equal": pa.array(equal[i, j].astype(np.int32))})
+    shingles, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+    shared = (np.cumsum(count > 1) - 1)[number]  # a shingle of one row alone is in no intersection
+    keep = count[number] > 1
+    owner, shared = owner[keep], shared[keep]
+    inter = np.zeros((len(left), len(right)), dtype=np.float32)
+    place = np.full(len(sets), -1)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    for begin in range(0, int(shared.max()) + 1 if len(shared) else 0, 8192):
+        some = (shared >= begin) & (shared < begin + 8192)
+        o, c = owner[some], shared[some] - begin
+        x = np.zeros((len(left), 8192), dtype=np.float32)
+        y = np.zeros((len(right), 8192), dtype=np.float32)
+        x[place[o[asks[o]]], c[asks[o]]] = 1
+        y[place[o[~asks[o]]], c[~asks[o]]] = 1
+        inter += x @ y.T
+    union = n[left][:, None] + n[right][None, :] - inter
+    i, j = np.nonzero((100 * inter.astype(np.float64) >= threshold * union) & (at[left][:, None] != at[right][None, :]))
+    _, first = np.unique(np.stack([left[i], at[right[j]]], axis=1), axis=0, return_index=True)
+    q, r = ids[left[i[first]]], ids[right[j[first]]]
+    return pa.table({"a": pa.array(np.maximum(q, r), pa.int64()), "b": pa.array(np.minimum(q, r), pa.int64())})
+
+
+def placed(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """pairs with the components of their ends, at_a and at_b, where those differ."""
+    for end in ("a", "b"):
+        pairs = pairs.join(reached.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")), end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
+    return pairs.where("at_a <> at_b")
 
 
-def apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
-    """Those pairs whose ends are not in one component."""
-    for end in ("a", "b"):
-        pairs = pairs.join(reached.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")), end, "left")
-    return pairs.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).drop("at_a", "at_b")
+def extended(reached: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, component) with new links: components are merged, not found anew."""
+    ends = share(placed(new.select("a", "b"), reached), "ends")
+    merged = components(ends.select("at_a", "at_b"), "at_a", "at_b").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    nodes = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
+    every = reached.select("node", "component").union(nodes.select("node", F.col("node").alias("component")))
+    return share(every.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "reached")
 
 
-def crowd_pairs(crowds: DataFrame, classes: DataFrame, reached: DataFrame, threshold: int) -> DataFrame:
-    """(q, a, b, equal): rows outside their crowd's largest component, against all rows of the crowd."""
+def crowd_links(crowds: DataFrame, texts: DataFrame, reached: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links (a, b) of rows outside their crowd's largest component with rows of other components."""
     at = crowds.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    at = share(at, "crowds")
-    parts = at.groupBy("region", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = share(at.join(main.select("region", "main"), "region").withColumn("asks", F.col("component") != F.col("main")).drop("main"), "open")
-    tiles = open_rows.groupBy("region").agg(F.ceil(F.count_if("asks") / TILE).cast("int").alias("ask_tiles"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    full = open_rows.join(tiles, "region").join(classes.select("id", "n_shingles", "signature"), "id")
+    at = share(at, "regions")
+    mixed = at.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region", "low")
+    rows = share(at.join(mixed, "region").select("id", "component", "low"), "mixed")
+    # crowds, by components instead of rows: each goes to the least of its regions' leasts, and those to it
+    met = share(rows.select("component", "low").distinct(), "met")
+    least = met.groupBy("component").agg(F.min("low").alias("to"))
+    edges = least.select("component", "to").union(met.join(least, "component").select("low", "to")).where("component <> to").distinct()
+    named = components(edges, "component", "to").withColumnRenamed("component", "crowd").withColumnRenamed("node", "component")
+    rows = share(rows.select("id", "component").distinct().join(named, "component"), "crowds")
+    parts = rows.groupBy("crowd", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("crowd").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("rows"), (F.sum("n") - F.max("n")).alias("asking"))
+    sizes = main.select("crowd", "main", F.ceil(F.col("asking") / TILE).cast("int").alias("ask_tiles"), F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
+    full = rows.join(sizes, "crowd").withColumn("asks", F.col("component") != F.col("main"))
     spread = lambda n: F.pmod(F.xxhash64("id", F.lit("tile")), F.col(n)).cast("int")
-    some = ["region", "id", "component", "n_shingles", "signature"]
+    some = ["crowd", "id", "component"]
     asking = full.where("asks").select(*some, F.lit(True).alias("asks"), spread("ask_tiles").alias("one"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("two"))
     asked = full.select(*some, F.lit(False).alias("asks"), spread("tiles").alias("two"), F.explode(F.sequence(F.lit(0), F.col("ask_tiles") - 1)).alias("one"))
+    tiled = asking.unionByName(asked).join(texts, "id")
 
-    def alike(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _alike(key, table, threshold)
+    def linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _linked(key, table, k, threshold)
 
-    found = asking.unionByName(asked).groupBy("region", "one", "two").applyInArrow(alike, "q bigint, a bigint, b bigint, equal int")
-    return found.groupBy("a", "b").agg(F.max("q").alias("q"), F.max("equal").alias("equal"))
+    return tiled.groupBy("crowd", "one", "two").applyInArrow(linked, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Confirmed pairs of class ids that connect what all candidates would."""
+def reach(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(node, component) of the class ids that confirmed links connect."""
     pairs, crowds = candidates(classes, threshold)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8("text").alias("text")).where("text is not null")
-
     ids = share(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowds.select("id")).distinct(), "ids")
     # by shuffle at every size, since ids grow with the texts
     texts = share(rows.join(ids.hint("merge"), "id", "left_semi"), "texts")
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        return share(confirm(some, texts, k, threshold), "links")
-
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("trees", "depth", -F.col("b"))).alias("b"))
-    found = confirmed(best)
-    rest = share(apart(pairs.select("a", "b"), share(components(found), "reached")).join(best, ["a", "b"], "left_anti"), "rest")
-    found = found.union(confirmed(rest))
-    reached = share(components(found), "reached")
-    more = share(crowd_pairs(crowds, classes, reached, threshold).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "crowd_pairs")
-    if not more.limit(1).count():
-        return found
-    best = more.groupBy("q").agg(F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b"))).alias("x")).select("x.a", "x.b").distinct()
-    found = found.union(confirmed(best))
-    rest = share(apart(more.select("a", "b"), share(components(found), "reached")).join(best, ["a", "b"], "left_anti"), "rest")
-    return found.union(confirmed(rest))
+    reached = share(components(share(confirm(best, texts, k, threshold), "links")), "reached")
+    rest = share(placed(pairs.select("a", "b"), reached).select("a", "b").join(best, ["a", "b"], "left_anti"), "rest")
+    reached = extended(reached, share(confirm(rest, texts, k, threshold), "links"))
+    return extended(reached, share(crowd_links(crowds, texts, reached, k, threshold), "links"))
 
 
 def judged(docs: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -328,7 +350,7 @@ def judged(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     signed = share(signatures(docs, k), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = share(full.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
-    reached = components(links(docs, classes, k, threshold))
+    reached = reach(docs, classes, k, threshold)
     at = classes.select("set1", "set2", "id").join(reached.withColumnRenamed("node", "id"), "id", "left")
     at = at.select("set1", "set2", F.coalesce("component", "id").alias("_component"))
     out = signed.select("doc_id", "tie", "n_shingles", "set1", "set2").join(at, ["set1", "set2"], "left")
