@@ -39,7 +39,7 @@ TREES = 20
 DEPTH = 4
 VALUES = TREES * DEPTH
 #: Rows before a row that are its candidates in a sorted order, if their common prefix is long enough.
-NEIGHBOURS = 8
+NEIGHBOURS = 4
 #: Common values that candidates beyond the first two need in a crowded region.
 CROWDED_DEPTH = 6
 #: Rows of a tile of a crowd.
