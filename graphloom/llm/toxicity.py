@@ -101,7 +101,7 @@ def norms(n: int, whose: np.ndarray, cells: np.ndarray, weights: np.ndarray) ->
 
 def kernel_rows(words: list[str], table: np.ndarray) -> np.ndarray:
     """Normalised kernels of words with what the columns of table (a row for each cell) hold."""
-    out = np.zeros((len(words), table.shape[1]))
+    out = np.zeros((len(words), table.shape[1]), dtype=np.float32)
     for begin in range(0, len(words), 1000):
         part = words[begin : begin + 1000]
         whose, cells, weights = features(part)
@@ -119,20 +119,25 @@ def columns(words: list[str]) -> np.ndarray:
     whose, cells, weights = features(words)
     out = np.zeros((DIMS, len(words)), dtype=np.float32)
     np.add.at(out, (cells, whose), weights)
-    return out / np.maximum(np.sqrt((out**2).sum(axis=0)), 1e-9)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->j", out, out)), 1e-9)
+    return out
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
-    """Weights, the last for the bias, by Newton's method on the rows inside the margin."""
-    x = np.c_[x, np.ones(len(x))]
+    """Weights, the last for x's last column of ones, by Newton's method on the rows inside the margin."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge * weight.sum() / len(weight))
     penalty[-1] = 1e-6
     inside = np.ones(len(x), dtype=bool)
     for _ in range(rounds):
-        xi, ai = x[inside], weight[inside]
-        w = np.linalg.solve((xi * ai[:, None]).T @ xi + np.diag(penalty), (xi * ai[:, None]).T @ y[inside])
-        now = y * (x @ w) < 1
+        left, right = np.diag(penalty), np.zeros(x.shape[1])
+        for begin in range(0, len(x), 8192):  # the driver's memory is small
+            some = np.flatnonzero(inside[begin : begin + 8192]) + begin
+            xi = x[some].astype(np.float64)
+            left = left + (xi * weight[some][:, None]).T @ xi
+            right += xi.T @ (weight[some] * y[some])
+        w = np.linalg.solve(left, right)
+        now = y * (x @ w.astype(np.float32)) < 1
         if (now == inside).all():
             break
         inside = now
@@ -227,7 +232,9 @@ def machine(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int
         if k >= 2:
             words = [*words, w[:k] + w[k - 1] + w[k:], w[:k] + "x" + w[k:]]
             y, weight = np.r_[y, 1.0, 1.0], np.r_[weight, weight[i] / 2, weight[i] / 2]
-    x = kernel_rows(words, table) @ root
+    x = np.ones((len(words), table.shape[1] + 1), dtype=np.float32)
+    for begin in range(0, len(words), 8192):
+        x[begin : begin + 8192, :-1] = kernel_rows(words[begin : begin + 8192], table) @ root
     w = squared_hinge(x, y, weight)
     return (table @ (root @ w[:-1])).astype(np.float64), float(w[-1])
 
