@@ -13,8 +13,8 @@ from ..graph import PropertyGraph
 from ..runtime import BROADCAST_ROWS, share
 
 MOST_HOPS = 200
-#: Up to so many hops are one lazy plan, without any job on the way.
-LAZY_HOPS = 2
+#: So many hops are a lazy plan; more are run hop by hop, since a plan that repeats what came before grows fast.
+LAZY_HOPS = 1
 
 
 def reach(starts: DataFrame, steps: DataFrame, most: int = MOST_HOPS, least: int = 1, per_start: bool = False, carry: bool = False) -> DataFrame:
