@@ -1,25 +1,51 @@
 """Traversals: one plan a hop, and nothing but counts on the driver.
 
-A hop joins the frontier with the edges and drops what has been met. Each hop's result goes to the shared folder, so
-plans don't grow with the number of hops, and is broadcast only where it was counted and is small.
+A hop joins the frontier with the edges and drops what has been met. Each hop's result goes to the shared folder, and
+results of several hops are merged there, so plans grow with the logarithm of the number of hops; a hop's result is
+broadcast only where it was counted and is small. Closures and paths end when nothing new is met, not at a depth.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from ..runtime import BROADCAST_ROWS, share
 
-MOST_HOPS = 200
+#: So many results of hops are merged into one, and so many of those again.
+MERGED = 16
 #: So many hops are a lazy plan; more are run hop by hop, since a plan that repeats what came before grows fast.
 LAZY_HOPS = 1
 
 
-def reach(starts: DataFrame, steps: DataFrame, most: int = MOST_HOPS, least: int = 1, per_start: bool = False, carry: bool = False) -> DataFrame:
+class Hops:
+    """What hops have met so far: a union of few files at any number of hops."""
+
+    def __init__(self) -> None:
+        self.levels: list[list[DataFrame]] = []
+
+    def add(self, met: DataFrame) -> None:
+        for level in self.levels:
+            level.append(met)
+            if len(level) < MERGED:
+                return
+            met = share(reduce(DataFrame.union, level).coalesce(MERGED), "met")
+            level.clear()
+        self.levels.append([met])
+
+    def all(self) -> DataFrame | None:
+        every = [met for level in self.levels for met in level]
+        return reduce(DataFrame.union, every) if every else None
+
+
+def reach(starts: DataFrame, steps: DataFrame, most: int | None = None, least: int = 1, per_start: bool = False, carry: bool = False) -> DataFrame:
     """(id, depth): nodes at a shortest distance from least to most of some start, along (source, target) steps.
 
+    Without most, all that the starts lead to.
     A start counts as met only if a cycle leads back to it. least = 0 means the same as 1: walks have an edge at
     least. With per_start, (start, id, depth) for each start on its own; with carry, starts has a column start.
     """
@@ -28,14 +54,14 @@ def reach(starts: DataFrame, steps: DataFrame, most: int = MOST_HOPS, least: int
     frontier = starts.select(*([origin.alias("start")] if per_start else []), "id").distinct()
     met, rounds = None, []
 
-    def hop(front: DataFrame) -> DataFrame:
+    def hop(front: DataFrame, met: DataFrame | None) -> DataFrame:
         after = steps.join(front.withColumnRenamed("id", "source"), "source")
         after = after.select(*(["start"] if per_start else []), F.col("target").alias("id")).distinct()
         return after if met is None else after.join(met, key, "left_anti")
 
-    if most <= LAZY_HOPS:
+    if most is not None and most <= LAZY_HOPS:
         for depth in range(1, most + 1):
-            frontier = hop(frontier)
+            frontier = hop(frontier, met)
             rounds.append(frontier.withColumn("depth", F.lit(depth)))
             met = frontier if met is None else met.union(frontier)
         out = rounds[0] if rounds else frontier.where(F.lit(False)).withColumn("depth", F.lit(0))
@@ -45,18 +71,18 @@ def reach(starts: DataFrame, steps: DataFrame, most: int = MOST_HOPS, least: int
     frontier = share(frontier, "frontier")
     size = frontier.count()
     steps = share(steps, "steps")
-    for depth in range(1, most + 1):
+    hops = Hops()
+    for depth in count(1) if most is None else range(1, most + 1):
         if not size:
             break
-        frontier = share(hop(F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier), "frontier")
+        met = hops.all()
+        frontier = share(hop(F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier, None if met is None else met.drop("depth")), "frontier")
         size = frontier.count()
-        rounds.append(frontier.withColumn("depth", F.lit(depth)))
-        met = frontier if met is None else met.union(frontier)
-    if not rounds:
+        if size:
+            hops.add(frontier.withColumn("depth", F.lit(depth)))
+    out = hops.all()
+    if out is None:
         return frontier.where(F.lit(False)).withColumn("depth", F.lit(0))
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.union(r)
     return out.where(F.col("depth") >= least)
 
 
@@ -69,14 +95,14 @@ def bfs(graph: PropertyGraph, start: str, most: int) -> DataFrame:
     return found.join(edges.join(before, "source_id"), ["id", "depth"]).select("id", "depth", "edge_type", "source_id")
 
 
-def blast_radius(graph: PropertyGraph, start: str, most: int = MOST_HOPS) -> DataFrame:
+def blast_radius(graph: PropertyGraph, start: str, most: int | None = None) -> DataFrame:
     """(id, depth, is_direct): all that depends on start, over incoming edges of every type of the base graph."""
     starts = graph.spark.createDataFrame([(start,)], "id string")
     found = reach(starts, graph.without_overlay().steps(reverse=True), most).where(F.col("id") != start)
     return found.select("id", (F.col("depth") - 1).alias("depth"), (F.col("depth") == 1).alias("is_direct"))
 
 
-def trace_dependency(graph: PropertyGraph, start: str, most: int = MOST_HOPS) -> DataFrame:
+def trace_dependency(graph: PropertyGraph, start: str, most: int | None = None) -> DataFrame:
     """(id, depth): start itself at 0 and all that it depends on, base and overlay together."""
     merged = graph.merged()
     starts = graph.spark.createDataFrame([(start,)], "id string").join(merged.nodes.select("id"), "id", "left_semi")
@@ -84,7 +110,7 @@ def trace_dependency(graph: PropertyGraph, start: str, most: int = MOST_HOPS) ->
     return starts.withColumn("depth", F.lit(0)).union(found)
 
 
-def call_chain(graph: PropertyGraph, source: str, target: str, most: int = MOST_HOPS) -> DataFrame:
+def call_chain(graph: PropertyGraph, source: str, target: str, most: int | None = None) -> DataFrame:
     """(position, id) along a shortest path over edges of any type; of several, the least in order. Empty if none.
 
     Distances from the source are found hop by hop until the target is met; then the path is read backwards from
@@ -97,17 +123,19 @@ def call_chain(graph: PropertyGraph, source: str, target: str, most: int = MOST_
     # distances to the target, so that the path can be read forwards and is the least in order
     goal = spark.createDataFrame([(target,)], "id string")
     back = steps.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    frontier, met, layers = goal, goal, [goal]
-    for _ in range(most):
-        frontier = share(back.join(F.broadcast(frontier.withColumnRenamed("id", "source")) if frontier.count() <= BROADCAST_ROWS else frontier.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id")).distinct().join(met, "id", "left_anti"), "frontier")
-        met = met.union(frontier)
+    frontier, hops, layers, size = goal, Hops(), [goal], 1
+    hops.add(goal)
+    while True:
+        if not size or (most is not None and len(layers) > most):
+            return spark.createDataFrame([], "position int, id string")
+        nearer = frontier.withColumnRenamed("id", "source")
+        after = back.join(F.broadcast(nearer) if size <= BROADCAST_ROWS else nearer, "source").select(F.col("target").alias("id")).distinct()
+        frontier = share(after.join(hops.all(), "id", "left_anti"), "frontier")
+        hops.add(frontier)
         layers.append(frontier)
         if frontier.where(F.col("id") == source).count():
             break
-        if not frontier.count():
-            return spark.createDataFrame([], "position int, id string")
-    else:
-        return spark.createDataFrame([], "position int, id string")
+        size = frontier.count()
     path, at = [(0, source)], source
     for position, layer in enumerate(layers[-2::-1], 1):
         at = steps.where(F.col("source") == at).select(F.col("target").alias("id")).join(layer, "id", "left_semi").agg(F.min("id")).first()[0]

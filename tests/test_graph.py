@@ -76,6 +76,18 @@ def test_paths_and_closures(spark):
     assert ids(traverse.bfs(g, "main", 2)) == {"a", "x", "b"}
 
 
+def test_closures_and_paths_end_at_no_depth(spark):
+    n = 203  # edges; closures ended after 200
+    name = lambda i: f"n{i:03}"
+    nodes = spark.createDataFrame([(name(i), "Function", name(i), "/p") for i in range(n + 1)], "id string, node_type string, name string, path string")
+    edges = spark.createDataFrame([("Calls", name(i), name(i + 1)) for i in range(n)], "edge_type string, source_id string, target_id string")
+    g = PropertyGraph.of(nodes.coalesce(1), edges.coalesce(1))
+    steps = g.steps().coalesce(1)
+    assert {r["id"]: r["depth"] for r in traverse.reach(spark.createDataFrame([(name(0),)], "id string"), steps).collect()} == {name(i): i for i in range(1, n + 1)}
+    assert [r["id"] for r in traverse.call_chain(g, name(0), name(n)).orderBy("position").collect()] == [name(i) for i in range(n + 1)]
+    assert ids(traverse.reach(spark.createDataFrame([(name(0),)], "id string"), steps, 2)) == {name(1), name(2)}
+
+
 def test_overlay(spark):
     g = small(spark)
     over = spark.createDataFrame([("a", "Function", "a2", "/n"), ("z", "Function", "z", "/z")], "id string, node_type string, name string, path string")
