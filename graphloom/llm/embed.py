@@ -1,9 +1,10 @@
 """Embedding near-dedup by collision-counting projections.
 
-Equal vectors form classes first, so a vector that a third of all rows share is one row. Classes are dealt out to the
-cells of its NEAREST nearest pivots, whose number grows with the classes: two similar vectors share at least one of
-several pivots with high probability, and neither copies nor cells grow with the rows. Inside a cell each of PROJECTIONS
-random directions puts all vectors in an order on a line. A window around a query's position in that order holds the
+Equal vectors form classes first, so a vector that a third of all rows share is one row. A class is dealt out to the
+cells of its nearest pivots, whose number grows with the classes. To how many of them is calibrated for the pivots at
+hand: pairs at the threshold, made from vectors of the table, share one of them with probability REACH, so that recall
+doesn't fall as pivots grow; for random vectors of 64 components it takes 5 at 100 pivots, 10 at 8,192. Inside a cell
+each of PROJECTIONS random directions puts all vectors in an order on a line. A window around a query's position in that order holds the
 vectors that collide with it there; a pair that collides in as many orders as a pair at the threshold does with
 probability RECALL is verified by its cosine in double precision.
 
@@ -38,8 +39,12 @@ RECALL = 0.999
 #: Classes a pivot, and pivots at most.
 CELL = 1024
 MOST_PIVOTS = 8192
-#: Pivots a class goes to.
+#: Pivots a class goes to at least.
 NEAREST = 4
+#: Pairs at the threshold that share a pivot, and vectors and pairs that show to how many pivots classes go for that.
+REACH = 0.9995
+PROBES = 1024
+PROBE_PAIRS = 8192
 TILE = 2048
 #: Queries whose counts are in memory at once.
 QUERIES = 512
@@ -85,7 +90,27 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def pivots_needed(pivots: np.ndarray, probes: np.ndarray, threshold: float, reach: float = REACH) -> int:
+    """Of how many nearest pivots pairs at the threshold share one with probability ``reach``; all without probes."""
+    if len(pivots) <= NEAREST or not len(probes):
+        return len(pivots)
+    rng, needed = np.random.default_rng(11), []
+    for begin in range(0, PROBE_PAIRS, 256):
+        x = probes[np.arange(begin, begin + 256) % len(probes)]
+        away = rng.standard_normal(x.shape)
+        away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+        length = np.linalg.norm(away, axis=1)[:, None]
+        y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * np.divide(away, length, out=np.zeros_like(away), where=length > 0)
+        ranks = []
+        for z in (x, y):
+            rank = np.empty((len(z), len(pivots)), dtype=np.int32)
+            np.put_along_axis(rank, np.argsort(-(z @ pivots.T), axis=1, kind="stable").astype(np.int32), np.arange(len(pivots), dtype=np.int32)[None, :], axis=1)
+            ranks.append(rank)
+        needed.append(np.maximum(*ranks).min(axis=1) + 1)
+    return max(NEAREST, int(np.quantile(np.concatenate(needed), reach, method="higher")))
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], nearest: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """A row for each cell of a class: (label, dims, cell, cells, id, n, raw); cells lists all its cells."""
     for batch in batches:
         for label, ident, n, raw in zip(*(batch.column(c).to_pylist() for c in ("label", "id", "n", "raw")), strict=True):
@@ -93,7 +118,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) ->
             cells = [0]
             if len(x) in pivots:
                 s = pivots[len(x)] @ unit(x[None, :])[0]
-                cells = np.sort(np.argsort(-s, kind="stable")[:NEAREST]).tolist()
+                cells = np.sort(np.argsort(-s, kind="stable")[: nearest[len(x)]]).tolist()
             k = len(cells)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([label] * k, pa.int64()), pa.array([len(x)] * k, pa.int32()), pa.array(cells, pa.int32()), pa.array([cells] * k, pa.list_(pa.int32())), pa.array([ident] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array([raw] * k, pa.binary())],
@@ -172,12 +197,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = share(usable.groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.min("raw").alias("raw")), "classes", "lz4")
     count = classes.count()
     wanted = min(MOST_PIVOTS, -(-count // CELL))
-    sample = classes.select("id", "raw").orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(wanted).toPandas() if count else None
-    by_dims: dict[int, list[np.ndarray]] = {}
-    for raw in sample["raw"] if sample is not None else ():
-        by_dims.setdefault(len(raw) // 8, []).append(np.frombuffer(bytes(raw), dtype=np.float64))
-    pivots = {k: unit(np.stack(v)) for k, v in by_dims.items()}
-    dealt = mapped(classes.select("label", "id", "n", "raw"), partial(_dealt, pivots=pivots), "label bigint, dims int, cell int, cells array<int>, id bigint, n bigint, raw binary")
+    sample = classes.select("id", "raw").orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(wanted + PROBES).toPandas() if count else None
+    by_dims: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+    for i, raw in enumerate(sample["raw"] if sample is not None else ()):
+        by_dims.setdefault(len(raw) // 8, ([], []))[i >= wanted].append(np.frombuffer(bytes(raw), dtype=np.float64))
+    pivots = {k: unit(np.stack(v)) for k, (v, _) in by_dims.items() if v}
+    nearest = {k: pivots_needed(v, unit(np.stack(by_dims[k][1])) if by_dims[k][1] else v[:0], threshold) for k, v in pivots.items()}
+    dealt = mapped(classes.select("label", "id", "n", "raw"), partial(_dealt, pivots=pivots, nearest=nearest), "label bigint, dims int, cell int, cells array<int>, id bigint, n bigint, raw binary")
     dealt = share(dealt, "cells", "lz4")
     place = ["label", "dims", "cell"]
     sizes, fits = small(dealt.groupBy(*place).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "tiles")

@@ -59,6 +59,16 @@ def test_matches_brute_force(spark, monkeypatch):
     check(spark, vectors())
 
 
+def test_many_pivots_lose_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embed, "CELL", 2)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vs = np.concatenate([x, [pair(rng, v, 0.931) for v in x]])
+    got = embed.near_duplicates(spark.createDataFrame([(i, [float(c) for c in np.float32(v)], 0) for i, v in enumerate(vs)], SCHEMA)).collect()
+    assert sum(r["n_links"] for r in got) / 2 >= 997  # of 1,000
+
+
 def test_copies_and_odd_vectors(spark):
     v = [1.0] + [0.0] * 31
     odd = [(None, v, 1), (10_000, None, 1), (10_001, [], 1), (10_002, [0.0] * 32, 1), (10_003, [float("nan")] * 32, 1), (10_004, [None] * 32, 1), (10_005, [float("inf")] + [0.0] * 31, 1), (10_006, v, None), (10_007, v, 1), (10_008, [2.0] + [0.0] * 31, 1), (10_009, v, 2), (10_010, [1.0, 0.0], 1)]
