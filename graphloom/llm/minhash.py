@@ -147,11 +147,12 @@ def common_values(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.
     return out
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], threshold: int, ends: bool) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch], threshold: int, ends: bool, crowds: bool | None = None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of a sorted run of rows.
 
-    With ``ends``, also rows without a partner: the run's first and last ones with depth 0, and all rows of crowded
-    regions with depth -1.
+    Also rows without a partner: with ``crowds``, by default as ``ends``, all rows of crowded regions with depth -1, and
+    with ``ends`` the run's first and last rows with depth 0: NEIGHBOURS + 1 each, so a region with no more rows than
+    that in a run is there with all of them.
     """
     names = [*ORDER, "n_shingles"]
     before: dict[str, np.ndarray] | None = None  # the last rows of the batches so far
@@ -195,14 +196,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch], threshold: int, ends: bool) -
         ok = (a != b) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
         if ok.any():
             yield rows(np.maximum(a, b)[ok], np.minimum(a, b)[ok], depth[ok])
-        if ends and (place[lead:] > NEIGHBOURS).any():
+        if (ends if crowds is None else crowds) and (place[lead:] > NEIGHBOURS).any():
             full = np.flatnonzero(place == NEIGHBOURS + 1)
             full = full[full >= lead]  # here a region becomes a crowd: with the rows before
             at = np.concatenate([(full[:, None] - np.arange(NEIGHBOURS + 2)).ravel(), lead + np.flatnonzero(place[lead:] > NEIGHBOURS + 1)])
             crowd = {c: x[c][at] for c in names}
             yield rows(crowd["id"], None, np.full(len(at), -1, dtype=np.int32), crowd)
-        if ends and first_rows < NEIGHBOURS:
-            part = {c: new[c][: NEIGHBOURS - first_rows] for c in names}
+        if ends and first_rows <= NEIGHBOURS:
+            part = {c: new[c][: NEIGHBOURS + 1 - first_rows] for c in names}
             first_rows += len(part["id"])
             yield rows(part["id"], None, np.zeros(len(part["id"]), dtype=np.int32), part)
         last = total - 1
@@ -222,8 +223,9 @@ def candidates(classes: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFram
     found = share(mapped(ordered, partial(_neighbours, threshold=threshold, ends=True), PAIR_SCHEMA), "neighbours")
     # the rows around the borders of the ranges: a few a partition
     borders = found.where("b is null and depth = 0").select(F.col("a").alias("id"), *ORDER[:-1], "n_shingles").distinct()
-    across = mapped(borders.select(*ORDER, "n_shingles").repartition(1).sortWithinPartitions(*ORDER), partial(_neighbours, threshold=threshold, ends=False), PAIR_SCHEMA)
-    pairs = found.where("b is not null").select("a", "b", "depth").union(across.select("a", "b", "depth"))
+    across = share(mapped(borders.select(*ORDER, "n_shingles").repartition(1).sortWithinPartitions(*ORDER), partial(_neighbours, threshold=threshold, ends=False, crowds=True), PAIR_SCHEMA), "across")
+    found = found.union(across)  # a region that borders cut is a crowd by its rows on both sides
+    pairs = found.where("b is not null").select("a", "b", "depth")
     crowds = found.where("b is null and depth = -1").select(F.xxhash64("tree", "k0", "k1").alias("region"), F.col("a").alias("id"))
     return share(pairs.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.count("*").alias("trees")), "pairs"), crowds
 

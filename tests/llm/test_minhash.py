@@ -89,3 +89,19 @@ def test_neighbours_hold_all_of_a_small_region():
         for b in range(a):
             if keys[a] == keys[b] and (keys == keys[a]).sum() <= minhash.NEIGHBOURS + 1:
                 assert (a, b) in whole
+
+
+def test_a_crowd_that_borders_cut_is_whole(spark):
+    rng, n = np.random.default_rng(6), 12
+    values = rng.integers(0, 1 << 32, (n, minhash.VALUES), dtype=np.uint32)
+    values[:, : minhash.DEPTH] = 7  # one region in the first tree, none in the others
+    classes = spark.createDataFrame([(i, 50, v.tobytes()) for i, v in enumerate(values)], "id bigint, n_shingles bigint, signature binary")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "80")  # about 3 of 240 rows a range
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        _, crowds = minhash.candidates(classes)
+        assert {r["id"] for r in crowds.collect()} == set(range(n))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
