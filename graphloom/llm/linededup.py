@@ -5,9 +5,9 @@ a line on that has MIN_WORDS words or MIN_LINES lines. Of each window the line w
 so any repeated run that holds a window shares a fingerprint with its earlier copy, whatever surrounds either.
 
 Fingerprints that occur once are dropped; the windows of the others are joined by content with that content's first
-occurrence in the order of (doc_id, line). A match extends both ways: every window of a repeated run holds a shared
-fingerprint, so the run's windows cover it from its first to its last line, and the lines that later occurrences
-cover are deleted. First occurrences are minima, taken map-side, and a window meets one row, the first of its
+occurrence in the order of (doc_id, line), and the lines that later occurrences' windows cover are deleted. Windows cover
+a repeated run from its first line on, but a match is not extended beyond them: up to 3 lines or 49 words at the run's
+end, from which no whole window starts inside it, stay. The SQL below defines it so. First occurrences are minima, taken map-side, and a window meets one row, the first of its
 content, so a passage in a third of all documents neither fills a task nor makes pairs.
 
 Defined results: lines are compared without the white space around them; blank lines inside a deleted run go with it;
