@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import mapped, pieces, utf8
+from .common import carried, mapped, pieces
 
 #: Distinct chunks kept a worker; beyond it the cache starts anew, which changes no result.
 CACHE_CHUNKS = 1_000_000
@@ -192,8 +192,8 @@ def outputs(packed: bytes, table: list[bytes], want: tuple[str, ...], decimals:
 def _encoded(batches: Iterator[pa.RecordBatch], schema: pa.Schema, path: str, pattern: str, want: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     chunks, table = loaded(path, pattern)
     decimals = [b"%d " % i for i in range(len(table))] if "ids_sha256" in want else []
-    for batch in pieces(batches, "_text", 2_000_000):
-        texts = (x.decode("utf-8", "replace") if x else "" for x in batch.column("_text").to_pylist())
+    for batch in pieces(batches, None, 2_000_000):
+        texts = (x.decode("utf-8", "replace") if x else "" for x in batch.column(batch.num_columns - 1).to_pylist())
         rows = [outputs(x, table, want, decimals) for x in chunks.encode(texts)]
         new = [pa.array(c, schema.field(n).type) for n, c in zip(want, zip(*rows, strict=True), strict=True)]
         kept = batch.columns[:-1]
@@ -202,7 +202,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], schema: pa.Schema, path: str, pa
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), want: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
     """The columns ``keep`` of docs and what ``want`` names of OUTPUTS; path is a file that every executor has."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8("text").alias("_text"))
+    rows = carried(docs, keep)
     schema = StructType([rows.schema[c] for c in keep] + list(StructType.fromDDL(", ".join(f"{w} {OUTPUTS[w]}" for w in want))))
     return mapped(rows, partial(_encoded, schema=to_arrow_schema(schema, prefers_large_types=False), path=path, pattern=pattern, want=want), schema)
 

@@ -7,23 +7,18 @@ is lost later costs a re-read of a file, never a recomputation of what led to it
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import BROADCAST_ROWS, drop_path, new_path, share, shared_folder  # noqa: F401
+
 #: Words everywhere in this package: runs of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only if it has been counted and has at most this many (narrow) rows.
-BROADCAST_ROWS = 100_000
-
 #: Arrow batches hold about this many bytes at most, or one row.
 BATCH_BYTES = 4_000_000
 
@@ -31,38 +26,6 @@ BATCH_BYTES = 4_000_000
 PIECE_BYTES = 8_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used; it goes when the driver's Python ends."""
-    path = f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(drop_path, spark, path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a table of this package from the shared folder; a session that has ended is no error."""
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def share(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and returns the table as read back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Shares df, counts it and says whether it may be broadcast."""
     kept = share(df, name)
@@ -79,6 +42,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def carried(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` of docs, whatever their names, and last the text as bytes."""
+    name = "_text"
+    while name in keep:
+        name = f"_{name}"
+    return docs.select(*[F.col(f"`{c}`") for c in keep], utf8("text").alias(name))
+
+
 def utf8(column: str) -> Column:
     """A text column as bytes; null stays null."""
     return F.col(f"`{column}`").cast("binary")
@@ -90,10 +61,10 @@ def mapped(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches with at most ``most`` bytes in ``column``, or one row."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str | None = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with at most ``most`` bytes in ``column`` (None: the last one), or one row."""
     for batch in batches:
-        sizes = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [x or 0 for x in pa.compute.binary_length(batch.column(batch.num_columns - 1 if column is None else column)).to_pylist()]
         begin, total = 0, 0
         for i, n in enumerate(sizes):
             if i > begin and total + n > most:
@@ -104,6 +75,23 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(begin)
 
 
+#: Of a table's rows, a key holds a hot part if it has over this share of them, and at least HOT_ROWS rows.
+HOT_SHARE = 1 / 10_000
+HOT_ROWS = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int) -> DataFrame:
+    """left.join(right, on), inner, where ``right`` has one row a key and, as ``n``, how many rows of left have the key.
+
+    Keys with more rows than HOT_SHARE of all are 1 / HOT_SHARE at most, so their rows of right are broadcast, and the
+    rows of left that meet them aren't dealt out by key; all others are joined by shuffle.
+    """
+    hot = right.where(F.col(n) > max(HOT_ROWS, int(rows * HOT_SHARE)))
+    rest = right.where(F.col(n) <= max(HOT_ROWS, int(rows * HOT_SHARE)))
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).union(cold.join(rest.hint("merge"), on)).drop(n)
+
+
 def running_totals(df: DataFrame, order: list[str], value: str, out: str, name: str) -> DataFrame:
     """Adds, as ``out``, the sum of ``value`` over all rows before a row in the given order.
 
