@@ -57,11 +57,32 @@ def test_split_characters(spark):
     assert got[2] is None and got[3] == "" and isinstance(got[1], str)
 
 
-def test_files_hold_all_ids(spark, texts, expected, monkeypatch):
+@pytest.fixture(scope="module")
+def plain(texts):
+    """Ids of the tokenizer's file by the library alone, as it is loaded; strings of special tokens are those tokens."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_are_those_of_the_plain_library(plain, texts):
+    rng = random.Random(8)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    more = ["".join(rng.choices(["<|endoftext|>", " ", "a", "b.", "\n", "<|", "é"], k=rng.randrange(12))) for _ in range(400)]
+    chunks = token_files.loaded(tokenizer_path("byte_bpe_50k.json"))
+    got = [np.frombuffer(x, "<u4").tolist() for x in chunks.encode(texts + more)]
+    assert got == plain + [tokenizer.encode(t, add_special_tokens=False).ids for t in more]
+    assert sum("<|endoftext|>" in t for t in more) > 100
+
+
+def test_files_hold_all_ids(spark, texts, plain):
     rows = [(i * 3, t, None, None, 0) for i, t in enumerate(texts)] + [(1, None, None, None, 0)]
     df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5))
     got = token_files.round_trip(df, tokenizer_path("byte_bpe_50k.json")).orderBy("doc_id").collect()
-    ids = {i * 3: x for i, x in enumerate(expected)} | {1: []}
+    ids = {i * 3: x for i, x in enumerate(plain)} | {1: []}
     start = 0
     assert [r["doc_id"] for r in got] == sorted(ids)
     for r in got:
@@ -73,9 +94,43 @@ def test_files_hold_all_ids(spark, texts, expected, monkeypatch):
 
 def test_only_wanted_documents_are_decompressed(spark):
     path = new_path(spark, "tokens")
-    token_files.write(docs(spark, *[prose(200, i) for i in range(40)]), path, tokenizer_path("byte_bpe_50k.json"))
+    token_files.write(docs(spark, *[prose(200, i) for i in range(40)]), path, tokenizer_path("byte_bpe_50k.json"), file_bytes=0)
     some = token_files.read(spark, path, frozenset({7, 31}))
     assert {r["doc_id"] for r in some.collect()} == {7, 31}
+    every = {r["file"] for r in token_files.read(spark, path).collect()}
+    assert len(every) > 2 and len(some.inputFiles()) <= 2  # files without wanted documents aren't opened
+    assert token_files.read(spark, path, frozenset({99})).count() == 0
+
+
+def test_starts_of_very_many_files(spark):
+    """More files than a task's names keep in order: c1000 sorts before c101."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        words = [prose(1 + i % 7, i) for i in range(1200)]
+        got = token_files.round_trip(docs(spark, *words), tokenizer_path("byte_bpe_50k.json"), file_bytes=0).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert len({(r["part"], r["number"]) for r in got}) == 1200
+    start = 0
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+
+
+def test_repeated_and_null_ids_and_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    long = prose(200_000, 3)
+    rows = [(None, "x"), (None, None), (5, "b c"), (5, "b c"), (5, "a"), (5, None), (-7, long), (9, "")]
+    got = token_files.round_trip(spark.createDataFrame(rows, "doc_id bigint, text string"), tokenizer_path("byte_bpe_50k.json")).collect()
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    count = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(i), count(t)) for i, t in rows)
+    ordered = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in ordered] == [None, None, -7, 5, 5, 5, 5, 9]
+    ends = [r["start"] + r["n_tokens"] for r in ordered]
+    assert [r["start"] for r in ordered] == [0, *ends[:-1]]
 
 
 def test_file_format():
