@@ -6,11 +6,13 @@ labelled rows; the nearest centroid names the language. A text too far from ever
 rejected: the limit is a part of the similarity that labelled texts of that length reach.
 
 Fitting reads labels of the given rows alone. Document frequencies are counted over all of those rows, by executors;
-the sample has at most SAMPLE_ROWS rows over all languages, taken by a hash of the id. Prediction is one pass over
-whole texts, without a shuffle; the model is a few hundred kB.
+the sample has at most SAMPLE_ROWS rows over all languages, those with the least hashes of id and text in each, and one
+of each language at least. Prediction is one pass over whole texts, without a shuffle; the model is a few hundred kB.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and counts as rejected; with no labelled
-rows every text is ``und``; ties go to the language that sorts first; repeated rows are judged alike.
+rows every text is ``und``; ties go to the language that sorts first; repeated rows are judged alike, and are one row of
+the sample; of more than SAMPLE_ROWS languages the commonest SAMPLE_ROWS are learned; further columns are not read,
+whatever their names, and ``keep`` may name any.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, utf8
+from .common import carried, mapped, pieces, share, utf8
 
 DIMS = 4096
 #: Centroids a language.
@@ -33,7 +35,8 @@ CENTROIDS = 4
 #: Labelled rows that reach the driver, as vectors, over all languages; and those of one language at most.
 SAMPLE_ROWS = 2000
 SAMPLE_LANGUAGE = 400
-MOST_LANGUAGES = 200
+#: The sample is drawn from so many rows of a language, each the least of its slot by hash.
+SLOTS = 1 << 14
 #: Texts of up to so many n-grams share a limit; the last limit holds for all longer ones.
 LENGTHS = (50, 200, 800, 3200)
 #: The part of the similarity that all but REJECT_QUANTILE of the labelled texts of a length reach.
@@ -130,17 +133,26 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
     """From rows with text and lang; rows without a lang teach nothing."""
-    rows = labelled.where(F.col("lang").isNotNull()).select(F.col(key).alias("key"), "lang", utf8("text").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select(F.xxhash64(F.col(f"`{key}`").cast("string"), "text").alias("hash"), "lang", utf8("text").alias("text"))
+    # map-side, a row for each slot of a language, whatever the number of rows or repeats
+    slots = rows.groupBy("lang", F.pmod("hash", F.lit(SLOTS)).alias("slot")).agg(F.min("hash").alias("hash"), F.count("*").alias("n"))
+    slots = share(slots, "slots")
+    known = slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS)
+    languages = sorted(r["lang"] for r in known.collect())
+    if not languages:
+        return Model()
     df = {r["dim"]: r["n"] for r in mapped(rows.select("text"), _frequencies, "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     if not df:
         return Model()
-    each = min(SAMPLE_LANGUAGE, SAMPLE_ROWS // len(sizes))
-    slot = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("langid")), F.lit(1_000_000))
-    wanted = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1_000_000 if n <= each else int(1_000_000 * 0.9 * each / n) + 1)])
-    picked = mapped(rows.where(slot < wanted[F.col("lang")]).select("lang", "text"), _features, "lang string, grams bigint, row binary").limit(SAMPLE_ROWS).toPandas()
+    each = max(1, min(SAMPLE_LANGUAGE, SAMPLE_ROWS // len(languages)))
+    order = Window.partitionBy("lang").orderBy("slot")
+    wanted = slots.join(F.broadcast(labelled.sparkSession.createDataFrame([(x,) for x in languages], "lang string")), "lang")
+    wanted = share(wanted.withColumn("at", F.row_number().over(order)).where(F.col("at") <= each).select("lang", "hash"), "wanted")
+    sampled = rows.join(F.broadcast(wanted), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    picked = mapped(sampled.select("lang", "text"), _features, "lang string, grams bigint, row binary").toPandas()
+    if not len(picked):
+        return Model()
     picked = picked.sort_values(["lang", "grams", "row"])  # in an order that doesn't depend on the partitions
     n = df.pop(-1)
     seen = np.zeros(DIMS)
@@ -160,8 +172,8 @@ def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "_text"):
-        raw = batch.column("_text").to_pylist()
+    for batch in pieces(batches, None):
+        raw = batch.column(batch.num_columns - 1).to_pylist()
         lang, score, rejected = ["und"] * len(raw), [0.0] * len(raw), [True] * len(raw)
         for begin in range(0, len(raw), 512):
             found = [(i, c) for i, x in enumerate(raw[begin : begin + 512], begin) if (c := counts((x or b"").decode("utf-8", "replace"))) is not None]
@@ -178,7 +190,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8("text").alias("_text"))
+    rows = carried(docs, keep)
     new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
     schema = StructType([rows.schema[c] for c in keep] + new)
     return mapped(rows, partial(_predicted, schema=to_arrow_schema(schema), model=model), schema)
