@@ -6,15 +6,17 @@ into DIMS cells, so a word's kernel with a landmark is a sparse dot product. Lan
 rows; the Nyström map K_mm^-1/2 k(w) feeds a linear machine with squared hinge loss, whose weights fold back into one
 weight a cell. Scoring a word is then a few table look-ups, whatever the number of landmarks.
 
-Sentences teach through their words: a word is a positive example if it is much commoner in toxic training rows,
-else a negative one, weighted by its evidence. A logistic curve over a text's strongest words turns them into a
-score; it is fitted on the training rows, too. Letters that stand alone one after another are read as one word as
-well. Fitting uses at most SAMPLE_ROWS labelled rows a class and VOCABULARY words; scoring is one pass over whole
-texts without a shuffle.
+Sentences teach through their words, all of them: a word is a positive example if it is much commoner in toxic
+training rows than chance explains (LEAST_EVIDENCE leaves half a word to chance in 60,000), else a negative one,
+weighted by its evidence; those between teach neither. A logistic curve over a text's strongest words turns them into
+a score; it is fitted on the training rows, too. Letters that stand alone one after another are read as one word as
+well. Fitting uses about SAMPLE_ROWS labelled rows a class, drawn by hash. Words stay on the executors, which return
+sums; the driver holds the landmarks and a matrix of their number squared. Scoring is one pass over whole texts
+without a shuffle. The README says why the machine learns from words, with figures.
 
 Defined results: null and empty texts, and all texts if either class has no rows, get the share of toxic rows as
 their score (0 without labels); rows whose label is null or other than 0 and 1 teach nothing; repeated rows score
-alike.
+alike; further columns are not read, whatever their names, and ``keep`` may name any.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, share, utf8
+from .common import carried, mapped, pieces, share, utf8
 
 LENGTH, SPAN, DECAY = 3, 5, 0.6
 DIMS = 1 << 15
@@ -38,15 +40,17 @@ LANDMARKS = 384
 #: Words of which variants teach, too.
 VARIED = 64
 SAMPLE_ROWS = 4000
-VOCABULARY = 60_000
 #: Longer words are read in overlapping parts of this many characters.
 LONGEST = 32
 #: A word is toxic evidence from this log-likelihood ratio on, and clean up to this odds ratio; others don't teach.
 LEAST_EVIDENCE, MOST_CLEAN_ODDS = 20.0, 1.5
 WORDS_CACHED = 500_000
+#: Tasks that a step of Newton's method is dealt to, at most.
+TASKS = 64
 MARKS = re.compile(r"[\W_]+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-SPELLED = re.compile(r"(?<!\S)(?:\w[\s.\-_*]+){2,}\w(?!\w)")
+#: Three or more letters that stand alone. What parts them matches no letter, so a text is read once, not in all ways.
+SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*]+[^\W_](?![^\W_])){2,}")
 GAPS = [(a, b, DECAY ** (b - 2)) for a, b in itertools.combinations(range(1, SPAN), LENGTH - 1)]
 
 
@@ -123,27 +127,6 @@ def columns(words: list[str]) -> np.ndarray:
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
-    """Weights, the last for x's last column of ones, by Newton's method on the rows inside the margin."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * weight.sum() / len(weight))
-    penalty[-1] = 1e-6
-    inside = np.ones(len(x), dtype=bool)
-    for _ in range(rounds):
-        left, right = np.diag(penalty), np.zeros(x.shape[1])
-        for begin in range(0, len(x), 8192):  # the driver's memory is small
-            some = np.flatnonzero(inside[begin : begin + 8192]) + begin
-            xi = x[some].astype(np.float64)
-            left = left + (xi * weight[some][:, None]).T @ xi
-            right += xi.T @ (weight[some] * y[some])
-        w = np.linalg.solve(left, right)
-        now = y * (x @ w.astype(np.float32)) < 1
-        if (now == inside).all():
-            break
-        inside = now
-    return w
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
@@ -173,70 +156,137 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def evidence(self, text: str) -> tuple[float, float, float, float]:
-        """The greatest word score, the mean of the three greatest, how many are positive, and words, as logarithms."""
-        found = words_of(text)
-        if not found:
-            return -2.0, -2.0, 0.0, 0.0
-        new = [w for w in found if w not in self.known]
+    def evidence(self, texts: list[str]) -> list[tuple[float, float, float, float]]:
+        """Of each text: the greatest word score, the mean of the three greatest, how many are positive, and words, as logarithms."""
+        found = [words_of(x) for x in texts]
+        new = [w for w in set().union(*found) if w not in self.known]
+        if len(self.known) + len(new) > WORDS_CACHED:
+            self.known.clear()
+            new = list(set().union(*found))
         if new:
-            if len(self.known) + len(new) > WORDS_CACHED:
-                self.known.clear()
-                new = list(found)
             self.known.update(zip(new, self.model.words(new).tolist(), strict=True))
-        scores = np.fromiter(map(self.known.__getitem__, found), dtype=np.float64, count=len(found))
+        return [self.strongest(words) for words in found]
+
+    def strongest(self, words: set[str]) -> tuple[float, float, float, float]:
+        if not words:
+            return -2.0, -2.0, 0.0, 0.0
+        scores = np.fromiter(map(self.known.__getitem__, words), dtype=np.float64, count=len(words))
         top = np.sort(scores[scores >= np.partition(scores, -3)[-3]])[-3:] if len(scores) > 3 else scores
         return float(top.max()), float(top.mean()), float(np.log1p((scores > 0).sum())), float(np.log1p(len(scores)))
 
 
+def decoded(texts: list[bytes | None]) -> list[str]:
+    return [(x or b"").decode("utf-8", "replace") for x in texts]
+
+
 def _evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
-    for batch in pieces(batches):
-        rows = [scorer.evidence((x or b"").decode("utf-8", "replace")) for x in batch.column("text").to_pylist()]
+    for batch in pieces(batches, most=1_000_000):
+        rows = scorer.evidence(decoded(batch.column("text").to_pylist()))
         yield pa.RecordBatch.from_arrays([batch.column("y"), *[pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]], names=["y", "x0", "x1", "x2", "x3"])
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, most=1_000_000):
         found, toxic = [], []
-        for y, x in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            w = {EDGE.sub("", w) or w for w in words_of((x or b"").decode("utf-8", "replace"))}
+        for y, x in zip(batch.column("y").to_pylist(), decoded(batch.column("text").to_pylist()), strict=True):
+            w = {EDGE.sub("", w) or w for w in words_of(x)}
             found += w
             toxic += [y] * len(w)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int32())], names=["word", "y"])
 
 
-def machine(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, float]:
-    """The weight of each cell, and the bias, from words and the numbers of toxic and clean rows that hold them."""
-    part = n_toxic / (n_toxic + n_clean)
+def judged(words: DataFrame, n_toxic: float, n_clean: float) -> DataFrame:
+    """(word, y, evidence, clean) of the words that teach, from words and how many toxic and clean rows hold them.
+
+    evidence is the log-likelihood ratio of a word's two counts against those that the classes' sizes predict.
+    """
+    toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    n, part = toxic + clean, n_toxic / (n_toxic + n_clean)
+    term = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
     odds = ((toxic + 0.1) / (n_toxic + 0.2)) / ((clean + 0.1) / (n_clean + 0.2))
-    n = toxic + clean
-    evidence = 2 * sum(np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(n * p, 1e-9)), 0) for x, p in ((toxic, part), (clean, 1 - part)))
-    positive = (evidence >= LEAST_EVIDENCE) & (odds > 2)
-    used = positive | ((odds <= MOST_CLEAN_ODDS) & (clean > 0))
-    words, toxic, clean, evidence, positive = [w for w, u in zip(words, used, strict=True) if u], toxic[used], clean[used], evidence[used], positive[used]
-    y = np.where(positive, 1.0, -1.0)
-    half, negative = min(LANDMARKS // 2, int(positive.sum())), int((~positive).sum())
-    strongest = np.argsort(-np.where(positive, evidence, -1), kind="stable")[:half]
-    common = np.argsort(-np.where(positive, -1, clean), kind="stable")[: min(LANDMARKS // 4, negative)]
-    any_clean = np.setdiff1d(np.flatnonzero(~positive), common)
-    chosen = np.r_[strongest, common, any_clean[:: max(1, len(any_clean) // (LANDMARKS // 4))][: LANDMARKS // 4]]
-    table = columns([words[i] for i in chosen])
+    rows = words.select("word", "clean", (2 * (term(toxic, part) + term(clean, 1 - part))).alias("evidence"), odds.alias("odds"))
+    positive = (F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") > 2)
+    used = rows.where(positive | ((F.col("odds") <= MOST_CLEAN_ODDS) & (F.col("clean") > 0)))
+    return used.select("word", F.when(positive, 1.0).otherwise(-1.0).alias("y"), "evidence", F.col("clean").cast("double").alias("clean"))
+
+
+def landmarks(words: DataFrame) -> tuple[list[str], list[tuple[str, float]]]:
+    """The strongest positive words, the commonest negative ones, and as many by hash; and the strongest with their evidence."""
+    strongest = [(r["word"], r["evidence"]) for r in words.where("y > 0").orderBy(F.desc("evidence"), "word").limit(LANDMARKS // 2).collect()]
+    clean = words.where("y < 0")
+    common = [r["word"] for r in clean.orderBy(F.desc("clean"), "word").limit(LANDMARKS // 4).collect()]
+    others = [r["word"] for r in clean.where(~F.col("word").isin(common)).orderBy(F.xxhash64("word"), "word").limit(LANDMARKS // 4).collect()]
+    return [w for w, _ in strongest] + common + others, strongest
+
+
+def _mapped_words(batches: Iterator[pa.RecordBatch], table: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 2000):
+            part = batch.slice(begin, 2000)
+            x = (kernel_rows(part.column("word").to_pylist(), table) @ root).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([part.column("y"), part.column("weight"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "weight", "x"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch], w: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """What a step of Newton's method needs of the rows inside the margin, all without w: two sums, and a mark of the set."""
+    left = right = None
+    marked, rows = 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float16).reshape(batch.num_rows, -1).astype(np.float64)
+        x = np.c_[x, np.ones(len(x))]
+        y, weight = (batch.column(c).to_numpy() for c in ("y", "weight"))
+        inside = np.ones(len(x), dtype=bool) if w is None else y * (x @ w) < 1
+        x, y, weight = x[inside], y[inside], weight[inside]
+        more = (x * weight[:, None]).T @ x, x.T @ (weight * y)
+        left, right = more if left is None else (left + more[0], right + more[1])
+        marked, rows = marked + int(inside.sum()), rows + batch.num_rows
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()]), pa.array([right.tobytes()]), pa.array([marked], pa.int64()), pa.array([rows], pa.int64())], names=["l", "r", "inside", "n"])
+
+
+def squared_hinge(rows: DataFrame, total_weight: float, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
+    """Weights, the last a bias, by Newton's method: executors sum up the rows inside the margin, the driver solves."""
+    w, last = None, None
+    for _ in range(rounds):
+        parts = mapped(rows, partial(_sums, w=w), "l binary, r binary, inside bigint, n bigint")
+        left = right = 0.0
+        inside = n = 0
+        for p in parts.toLocalIterator():  # a matrix at a time
+            right = right + np.frombuffer(bytes(p["r"]))
+            left = left + np.frombuffer(bytes(p["l"])).reshape(len(right), -1)
+            inside, n = inside + p["inside"], n + p["n"]
+        penalty = np.full(len(right), ridge * total_weight / n)
+        penalty[-1] = 1e-6
+        new = np.linalg.solve(left + np.diag(penalty), right)
+        if last == inside and np.allclose(new, w, rtol=1e-4, atol=1e-6):
+            break
+        w, last = new, inside
+    return new
+
+
+def machine(words: DataFrame) -> tuple[np.ndarray, float]:
+    """The weight of each cell, and the bias, from words that teach."""
+    chosen, strongest = landmarks(words)
+    table = columns(chosen)
     values, vectors = np.linalg.eigh((table.T @ table).astype(np.float64))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    weight = np.where(positive, np.sqrt(evidence), 1.0)
-    weight[positive] *= 0.3 * weight[~positive].sum() / max(weight[positive].sum(), 1e-9)
+    root = (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
+    sums = words.groupBy("y").agg(F.sum(F.sqrt("evidence")).alias("root"), F.count("*").alias("n")).collect()
+    positive, negative = (next((r[c] for r in sums if r["y"] == y), 0) for y, c in ((1.0, "root"), (-1.0, "n")))
+    scale = 0.3 * negative / max(positive, 1e-9)
+    weight = F.when(F.col("y") > 0, F.sqrt("evidence") * scale).otherwise(1.0)
     # the strongest also with a letter doubled or inserted, as examples of half their weight
-    for i in strongest[:VARIED]:
-        w, k = words[i], len(words[i]) // 2
-        if k >= 2:
-            words = [*words, w[:k] + w[k - 1] + w[k:], w[:k] + "x" + w[k:]]
-            y, weight = np.r_[y, 1.0, 1.0], np.r_[weight, weight[i] / 2, weight[i] / 2]
-    x = np.ones((len(words), table.shape[1] + 1), dtype=np.float32)
-    for begin in range(0, len(words), 8192):
-        x[begin : begin + 8192, :-1] = kernel_rows(words[begin : begin + 8192], table) @ root
-    w = squared_hinge(x, y, weight)
-    return (table @ (root @ w[:-1])).astype(np.float64), float(w[-1])
+    variants = [(v, 1.0, scale * float(np.sqrt(e)) / 2) for w, e in strongest[:VARIED] for k in [len(w) // 2] if k >= 2 for v in (w[:k] + w[k - 1] + w[k:], w[:k] + "x" + w[k:])]
+    rows = words.select("word", "y", weight.alias("weight"))
+    if variants:
+        rows = rows.union(words.sparkSession.createDataFrame(variants, "word string, y double, weight double"))
+    # a small table with much work a row: dealt over the cores, but no more tasks than matrices the driver should add up
+    rows = rows.repartition(min(TASKS, words.sparkSession.sparkContext.defaultParallelism))
+    rows = share(mapped(rows, partial(_mapped_words, table=table, root=root), "y double, weight double, x binary"), "word_features", "lz4")
+    w = squared_hinge(rows, 1.3 * negative)
+    return (table @ (root @ w[:-1].astype(np.float32))).astype(np.float64), float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -255,16 +305,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share_of = {y: 1_000_000 if n <= SAMPLE_ROWS else int(1_000_000 * SAMPLE_ROWS / n) for y, n in sizes.items()}
     picked = marks.where(slot < F.when(F.col("y") == 1, share_of[1]).otherwise(share_of[0]))
     sample = share(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", utf8("text").alias("text")), "sample")
-    counted = mapped(sample, _word_rows, "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
-    found = counted.where("n >= 2").orderBy(F.desc(F.col("toxic") / F.col("n") * F.log1p("n")), F.desc("n"), "word").limit(VOCABULARY // 4)
-    common = counted.where("n >= 2").orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(VOCABULARY // 2)
-    rare = counted.where("n = 1 and toxic = 0").orderBy(F.xxhash64("word"), "word").limit(VOCABULARY // 4)
-    vocabulary = found.union(common).union(rare).distinct().orderBy("word").toPandas()
+    counted = mapped(sample, _word_rows, "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     n_toxic, n_clean = (min(sizes[y], sizes[y] * share_of[y] / 1e6) for y in (1, 0))
-    toxic, n = vocabulary["toxic"].to_numpy(dtype=float), vocabulary["n"].to_numpy(dtype=float)
-    if not len(vocabulary):
+    words = share(judged(counted, n_toxic, n_clean), "words")
+    if not words.take(1):
         return model
-    model.cells, model.bias = machine(vocabulary["word"].tolist(), toxic, n - toxic, n_toxic, n_clean)
+    model.cells, model.bias = machine(words)
     seen = mapped(sample, partial(_evidence, model=model), "y int, x0 double, x1 double, x2 double, x3 double").toPandas()
     y = seen["y"].to_numpy(dtype=float)
     weight = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
@@ -274,14 +320,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scored(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
-    for batch in pieces(batches, "_text"):
-        texts = batch.column("_text").to_pylist()
+    for batch in pieces(batches, None, 1_000_000):
+        texts = decoded(batch.column(batch.num_columns - 1).to_pylist())
         score = np.full(len(texts), model.prior)
-        if model.curve is not None:
-            at = [i for i, x in enumerate(texts) if x]
-            if at:
-                x = np.array([scorer.evidence(texts[i].decode("utf-8", "replace")) for i in at])
-                score[at] = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model.curve, -30, 30)))
+        if model.curve is not None and (at := [i for i, x in enumerate(texts) if x]):
+            x = np.array(scorer.evidence([texts[i] for i in at]))
+            score[at] = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model.curve, -30, 30)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], schema=schema)
 
 
@@ -290,7 +334,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8("text").alias("_text"))
+    rows = carried(docs, keep)
     schema = StructType([rows.schema[c] for c in keep] + [StructField("score", DoubleType())])
     return mapped(rows, partial(_scored, schema=to_arrow_schema(schema), model=model), schema)
 
