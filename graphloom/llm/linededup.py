@@ -1,18 +1,27 @@
 """Line dedup by winnowing over line hashes.
 
-The lines of a text that hold a word, in order, are a sequence of hashes. A window is the shortest run of lines from
-a line on that has MIN_WORDS words or MIN_LINES lines. Of each window the line with the least hash is its fingerprint,
-so any repeated run that holds a window shares a fingerprint with its earlier copy, whatever surrounds either.
-
-Fingerprints that occur once are dropped; the windows of the others are joined by content with that content's first
-occurrence in the order of (doc_id, line), and the lines that later occurrences' windows cover are deleted. Windows cover
-a repeated run from its first line on, but a match is not extended beyond them: up to 3 lines or 49 words at the run's
-end, from which no whole window starts inside it, stay. The SQL below defines it so. First occurrences are minima, taken map-side, and a window meets one row, the first of its
-content, so a passage in a third of all documents neither fills a task nor makes pairs.
-
-Defined results: lines are compared without the white space around them; blank lines inside a deleted run go with it;
-where a run overlaps its own first occurrence, that occurrence stays; null and empty texts stay as they are; rows with
-the same doc_id and text count as one document, and both keep or lose the same lines; null ids come first.
+The lines of a text that hold a word, in order, are a sequence of hashes. A line goes if it lies in a run of lines with
+at least MIN_WORDS words or MIN_LINES lines that equals an earlier run, in the order of (doc_id, line), which ends before
+the run begins. The first occurrence stays, so a passage that documents share stays once.
+
+A window is the shortest run of lines from a line on that has that many words or lines. Of each window the line with the
+least hash (of equal ones the last) is selected; windows that follow one another mostly select the same line, so a text
+keeps fewer positions than lines. Any repeated run holds a window, whose selected line is one of both occurrences'
+fingerprints, whatever surrounds either. A fingerprint carries the hashes of the lines around it, ten at most. First,
+positions are joined by fingerprint alone: those whose line is selected once in all texts go. The others' matches are
+extended both ways on the line hashes: to the left up to the begin of each window that selected the line, to the right
+up to the line before which the next window would end. Each such run is joined with the first occurrence of its line
+hashes, and where that is an earlier one the run's lines are deleted. A longer run is the union of such runs, of its own
+windows, so it is deleted to its last line.
+
+First occurrences and counts are taken map-side. A run meets one row, the first with its line hashes; those that many
+positions share are broadcast (there are 10,000 at most), so a passage in a third of all documents neither fills a task
+nor makes pairs.
+
+Defined results: lines are compared without the white space around them, by 128-bit hashes; blank lines inside a deleted
+run go with it; null and empty texts stay as they are; rows with the same doc_id and text count as one document, and
+both keep or lose the same lines; null ids come first; further columns are not read, whatever their names, and ``keep``
+may name any.
 """
 
 from __future__ import annotations
@@ -20,51 +29,103 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mapped, pieces, share, utf8
+from .common import WORD, join_counted, mapped, pieces, share, utf8
 
 MIN_WORDS = 50
 MIN_LINES = 4
 SPACES = b" \t\x0b\x0c\r"
+#: Bytes of a line's hash.
+HASH = 16
 
 
-def windows(raw: bytes, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> list[tuple[int, int, int, bytes]]:
-    """(first line, last line, fingerprint, 128-bit digest of the content) of each window; lines count from 0, blank ones too."""
-    lines = [(i, stripped) for i, x in enumerate(raw.split(b"\n")) if (stripped := x.strip(SPACES))]
-    words = [len(x.split()) for _, x in lines]
-    hashes = [xxhash.xxh64_intdigest(x) for _, x in lines]
-    out, end, total = [], 0, 0  # the window of line i ends before line number end
-    for i in range(len(lines)):
+def units(raw: bytes) -> list[tuple[int, bytes]]:
+    """(number, content) of the lines that hold a word; lines count from 0, blank ones too."""
+    return [(i, stripped) for i, x in enumerate(raw.split(b"\n")) if (stripped := x.strip(SPACES))]
+
+
+def window_ends(words: list[int], min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> list[int]:
+    """Where the window from each line on ends, without the lines that begin none; ends never fall."""
+    out, end, total = [], 0, 0
+    for i in range(len(words)):
         if end < i:
             end, total = i, 0
-        while end < len(lines) and total < min_words and end - i < min_lines:
+        while end < len(words) and total < min_words and end - i < min_lines:
             total += words[end]
             end += 1
         if total < min_words and end - i < min_lines:
             break
-        content = b"\n".join(x for _, x in lines[i:end])
-        out.append((lines[i][0], lines[end - 1][0], min(hashes[i:end]), xxhash.xxh3_128_digest(content)))
+        out.append(end)
         total -= words[i]
     return out
 
 
-WINDOW_SCHEMA = "id bigint, tie bigint, first int, last int, fingerprint bigint, c1 bigint, c2 bigint"
+def selected(hashes: list[bytes], ends: list[int]) -> list[int]:
+    """The line that each window selects: the one with the least hash, of equal ones the last."""
+    return [max(range(i, end), key=lambda k: (hashes[k] == low, k)) for i, end in enumerate(ends) for low in [min(hashes[i:end])]]
+
+
+def fingerprints(raw: bytes, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> list[tuple[bytes, int, bytes, bytes]]:
+    """(hash, begin, hashes around, runs) of each selected line.
+
+    The hashes are those of the lines from ``begin`` on; runs are pairs of bytes, where a run begins and ends among them.
+    """
+    lines = [x for _, x in units(raw)]
+    hashes = [xxhash.xxh3_128_digest(x) for x in lines]
+    ends = window_ends([len(x.split()) for x in lines], min_words, min_lines)
+    chosen = selected(hashes, ends)
+    out, i = [], 0
+    while i < len(ends):
+        begin, runs, last = i, bytearray(), 0
+        while i < len(ends) and chosen[i] == chosen[begin]:
+            # beyond the next window's end, runs belong to the next window
+            beyond = ends[i + 1] if i + 1 < len(ends) else len(lines) + 1
+            for last in range(ends[i], max(beyond, ends[i] + 1)):
+                runs += bytes((i - begin, last - begin))
+            i += 1
+        out.append((hashes[chosen[begin]], begin, b"".join(hashes[begin:last]), bytes(runs)))
+    return out
+
+
+POSITIONS = "id bigint, tie bigint, fingerprint bigint, begin int, hashes binary, runs binary"
+RUNS = "id bigint, tie bigint, first int, last int, c1 bigint, c2 bigint"
 
 
-def _windows(batches: Iterator[pa.RecordBatch], min_words: int, min_lines: int) -> Iterator[pa.RecordBatch]:
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+def _positions(batches: Iterator[pa.RecordBatch], min_words: int, min_lines: int) -> Iterator[pa.RecordBatch]:
+    kinds = {"id": pa.int64(), "tie": pa.int64(), "fingerprint": pa.int64(), "begin": pa.int32(), "hashes": pa.binary(), "runs": pa.binary()}
     for batch in pieces(batches):
-        rows = []
-        for doc, tie, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text")), strict=True):
-            for first, last, fingerprint, digest in windows(raw, min_words, min_lines) if raw else ():
-                rows.append((doc, tie, first, last, signed(fingerprint), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+        rows = [
+            (doc, tie, int.from_bytes(fingerprint[:8], "little", signed=True), *more)
+            for doc, tie, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text")), strict=True)
+            if raw
+            for fingerprint, *more in fingerprints(raw, min_words, min_lines)
+        ]
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "tie", "first", "last", "fingerprint", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs through each position, each with a 128-bit hash of its lines' hashes."""
+    for batch in batches:
+        owner, first, last, digests = [], [], [], []
+        for k, (begin, hashes, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("begin", "hashes", "runs")), strict=True)):
+            for a, b in zip(runs[::2], runs[1::2], strict=True):
+                owner.append(k)
+                first.append(begin + a)
+                last.append(begin + b - 1)
+                digests.append(xxhash.xxh3_128_digest(hashes[HASH * a : HASH * b]))
+        if owner:
+            c = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            at = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(at), batch.column("tie").take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())],
+                names=["id", "tie", "first", "last", "c1", "c2"],
+            )
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -74,34 +135,36 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
-    """(id, tie, runs): the lines [first, last] of each document that repeat earlier ones, as they were matched."""
-    found = share(mapped(keyed(docs), partial(_windows, min_words=min_words, min_lines=min_lines), WINDOW_SCHEMA), "windows")
-    place = F.xxhash64("id", "tie", "first", "last")
-    shared = found.groupBy("fingerprint").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("fingerprint")
-    matched = share(found.join(shared, "fingerprint", "left_semi"), "matched")
+    """(id, tie, runs): the runs [first, last] of each document, among its lines with words, that equal earlier ones."""
+    found = share(mapped(keyed(docs), partial(_positions, min_words=min_words, min_lines=min_lines), POSITIONS), "positions")
+    place = F.xxhash64("id", "tie", "begin")
+    met = found.groupBy("fingerprint").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("met")).where("x <> y")
+    joined = join_counted(found, share(met.select("fingerprint", "met"), "met"), ["fingerprint"], "met", found.count())
+    runs = share(mapped(joined.select("id", "tie", "begin", "hashes", "runs"), _extended, RUNS), "runs")
     at = F.struct("id", "tie", "first", "last")
-    firsts = matched.groupBy("c1", "c2").agg(F.min(at).alias("one"), F.max(at).alias("other")).where("one <> other").select("c1", "c2", "one")
-    pairs = matched.join(firsts, ["c1", "c2"]).where(at != F.col("one"))
+    firsts = runs.groupBy("c1", "c2").agg(F.min(at).alias("one"), F.max(at).alias("other"), F.count("*").alias("met")).where("one <> other")
+    pairs = join_counted(runs, share(firsts.select("c1", "c2", "one", "met"), "firsts"), ["c1", "c2"], "met", runs.count())
     own = (F.col("id") == F.col("one.id")) & (F.col("tie") == F.col("one.tie"))
-    begin = F.when(own, F.greatest("first", F.col("one.last") + 1)).otherwise(F.col("first"))
-    return pairs.groupBy("id", "tie").agg(F.collect_set(F.struct(begin.alias("first"), F.col("last"))).alias("runs"))
+    later = pairs.where(~own | (F.col("first") > F.col("one.last")))
+    return later.groupBy("id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
 def without(raw: bytes, runs: list[dict]) -> tuple[bytes, int, int]:
     """The text without the lines of the runs; its lines with a word, and how many of those went."""
-    lines = raw.split(b"\n")
-    gone = set()
+    worded = [i for i, _ in units(raw)]
+    if not runs:
+        return raw, len(worded), 0
+    gone: set[int] = set()
     for run in runs:
-        gone.update(range(run["first"], run["last"] + 1))
-    worded = [bool(x.strip(SPACES)) for x in lines]
-    left = b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else raw
-    return left, sum(worded), sum(worded[i] for i in gone)
+        gone.update(range(worded[run["first"]], worded[run["last"]] + 1))
+    left = b"\n".join(x for i, x in enumerate(raw.split(b"\n")) if i not in gone)
+    return left, len(worded), sum(i in gone for i in worded)
 
 
 def _without(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "_text"):
+    for batch in pieces(batches, None):
         texts, n, gone = [], [], []
-        for raw, runs in zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist(), strict=True):
+        for raw, runs in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True):
             text, lines, deleted = without(raw or b"", runs or [])
             texts.append(None if raw is None else text.decode("utf-8", "replace"))
             n.append(lines)
@@ -119,38 +182,38 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_words:
     key = [F.coalesce(F.col("`doc_id`").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col("`text`")).alias("tie")]
     rows = docs.select(*named, *key, utf8("text").alias("_text"))
     joined = rows.join(runs.hint("merge"), ["id", "tie"], "left")  # by shuffle at every size: runs grow with the texts
-    rows = joined.select(*[F.col(f"_keep{i}") for i in range(len(keep))], "_text", F.col("runs").alias("_runs"))
+    rows = joined.select(*[F.col(f"_keep{i}") for i in range(len(keep))], "runs", "_text")
     schema = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + [StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_deleted", LongType())])
     return mapped(rows, partial(_without, schema=to_arrow_schema(schema)), schema)
 
 
-#: The same by content alone, for MIN_WORDS and MIN_LINES as above. Lines count from 1 here.
+#: The same from the definition, for MIN_WORDS and MIN_LINES as above: every window, longer by 0 to 3 lines, against all
+#: of them. A longer run is a union of such ones. Lines count from 1 here.
 ORACLE = rf"""
 WITH raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL
 ), units AS (
-  SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '{WORD}')) AS words
+  SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS u,
+    trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '{WORD}')) AS words
   FROM raw WHERE regexp_matches(line, '{WORD}')
 ), leads AS (
-  SELECT doc_id, i, line, words,
-    lead(i, 1) OVER w AS i2, lead(line, 1) OVER w AS l2, lead(words, 1) OVER w AS w2,
-    lead(i, 2) OVER w AS i3, lead(line, 2) OVER w AS l3, lead(words, 2) OVER w AS w3,
-    lead(i, 3) OVER w AS i4, lead(line, 3) OVER w AS l4
-  FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), wins AS (
-  SELECT doc_id, i AS first,
-    CASE WHEN words >= 50 THEN i WHEN words + w2 >= 50 THEN i2 WHEN words + w2 + w3 >= 50 THEN i3 ELSE i4 END AS last,
-    CASE WHEN words >= 50 THEN line WHEN words + w2 >= 50 THEN line || chr(10) || l2
-      WHEN words + w2 + w3 >= 50 THEN line || chr(10) || l2 || chr(10) || l3
-      ELSE line || chr(10) || l2 || chr(10) || l3 || chr(10) || l4 END AS content
-  FROM leads
+  SELECT doc_id, u, words, lead(words, 1) OVER w AS w2, lead(words, 2) OVER w AS w3, lead(words, 3) OVER w AS w4
+  FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY u)
+), ends AS (
+  SELECT doc_id, u, u + CASE WHEN words >= 50 THEN 0 WHEN words + w2 >= 50 THEN 1 WHEN words + w2 + w3 >= 50 THEN 2
+    WHEN w4 IS NOT NULL THEN 3 END AS least_end FROM leads
+), longer AS (
+  SELECT doc_id, u, least_end + unnest([0, 1, 2, 3]) AS e FROM ends WHERE least_end IS NOT NULL
+), runs AS (
+  SELECT l.doc_id, l.u, l.e, min(x.i) AS first, max(x.i) AS last, string_agg(x.line, chr(10) ORDER BY x.u) AS content
+  FROM longer l JOIN units x ON l.doc_id = x.doc_id AND x.u BETWEEN l.u AND l.e
+  GROUP BY l.doc_id, l.u, l.e HAVING count(*) = l.e - l.u + 1
 ), ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS doc0, first_value(first) OVER w AS first0, first_value(last) OVER w AS last0
-  FROM wins WHERE content IS NOT NULL WINDOW w AS (PARTITION BY content ORDER BY doc_id, first)
+  SELECT *, first_value(doc_id) OVER w AS doc0, first_value(last) OVER w AS last0
+  FROM runs WINDOW w AS (PARTITION BY content ORDER BY doc_id, u)
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = doc0 THEN greatest(first, last0 + 1) ELSE first END, last + 1)) AS i
-  FROM ranked WHERE doc_id <> doc0 OR first <> first0
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM ranked WHERE doc_id <> doc0 OR first > last0
 ), marked AS (
   SELECT r.doc_id, r.i, r.line, g.i IS NOT NULL AS deleted, regexp_matches(r.line, '{WORD}') AS worded
   FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.i = g.i

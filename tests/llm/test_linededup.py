@@ -10,26 +10,22 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(rows):
-    """By content alone: every window that has an earlier copy, in the order of rows."""
+    """From the definition: all runs of lines of any length against all earlier ones, in the order of rows."""
     first, out = {}, {}
     for doc, text in sorted(rows, key=lambda r: r[0]):
         lines = text.split("\n")
         units = [(i, x.strip(" \t\v\f\r")) for i, x in enumerate(lines) if WORD.search(x)]
+        words = [len(WORD.findall(x)) for _, x in units]
         gone = set()
         for s in range(len(units)):
-            e, words = s, 0
-            while e < len(units) and words < 50 and e - s < 4:
-                words += len(WORD.findall(units[e][1]))
-                e += 1
-            if words < 50 and e - s < 4:
-                break
-            key = tuple(x for _, x in units[s:e])
-            a, b = units[s][0], units[e - 1][0]
-            if key in first:
-                d0, b0 = first[key]
-                gone.update(range(max(a, b0 + 1) if d0 == doc else a, b + 1))
-            else:
-                first[key] = (doc, b)
+            for e in range(s + 1, len(units) + 1):
+                if e - s < 4 and sum(words[s:e]) < 50:
+                    continue
+                key = tuple(x for _, x in units[s:e])
+                a, b = units[s][0], units[e - 1][0]
+                d0, b0 = first.setdefault(key, (doc, b))
+                if d0 != doc or b0 < a:
+                    gone.update(range(a, b + 1))
         out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
@@ -83,14 +79,51 @@ def test_edges(spark):
     got = [(r["doc_id"], r["text"], r["n_deleted"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()]
     by = {d: [x[1:] for x in got if x[0] == d] for d in {x[0] for x in got}}
     assert by[None] == [(long, 0)]  # null ids come first
-    assert by[2] == [(prose(3, 8), 1)] * 2 and by[1] == [(None, 0)]
+    assert by[2] == [("", 2)] * 2 and by[1] == [(None, 0)]  # the run's short last line, too
     assert by[4] == by[5] == [("short\nline", 0)]
-    assert by[3][0][1] == 1
+    assert by[3][0][1] == 2
     assert linededup.dedup_lines(docs(spark, "x").where("false")).count() == 0
 
 
+def test_a_match_ends_where_the_equal_lines_end(spark):
+    head, tail, other = prose(60, 1), prose(10, 2), prose(12, 3)
+    texts = [f"{head}\n{other}", f"{head}\n{tail}", f"{prose(5, 4)}\n{head}\n{tail}\n{prose(5, 5)}"]
+    got = lefts(docs(spark, *texts))
+    # the second text's run ends before its tail, the third's has an earlier copy with the tail, though not the first copy
+    assert got[1] == tail and got[2] == f"{prose(5, 4)}\n{prose(5, 5)}"
+
+
 def test_every_repeated_window_shares_a_fingerprint():
-    a, b = prose(30, 1) + "\n" + prose(30, 2) + "\n" + prose(30, 3), prose(5, 4)
-    left = {w[3]: w[2] for w in linededup.windows(f"{b}\n{a}".encode())}
-    right = {w[3]: w[2] for w in linededup.windows(f"{a}\n{b}".encode())}
-    assert left.keys() & right.keys() and all(left[k] == right[k] for k in left.keys() & right.keys())
+    a, b = "\n".join(prose(n, n) for n in (30, 31, 32, 3, 4, 60, 5)), prose(5, 99)
+    left = linededup.fingerprints(f"{b}\n{a}\n{b}".encode())
+    right = linededup.fingerprints(a.encode())
+    assert {f[0] for f in right} <= {f[0] for f in left}
+    lines = [x for _, x in linededup.units(a.encode())]
+    assert len(right) < len(lines)  # fewer positions than lines
+
+    def runs(found):
+        return {hashes[16 * r : 16 * e] for _, _, hashes, spans in found for r, e in zip(spans[::2], spans[1::2], strict=True)}
+
+    shared = runs(right) & runs(left)
+    assert shared and all(len(x) % 16 == 0 for x in shared)
+
+
+def test_without_fingerprints_nothing_is_found(spark, monkeypatch):
+    """Rows come through the selected lines: positions chosen by their place instead of by hash lose matches."""
+    passage = "\n".join(prose(20, 70 + i) for i in range(3))
+    texts = ["\n".join([*(prose(9, 1000 * i + k) for k in range(i % 5)), passage, prose(8, 50 + i)]) for i in range(30)]
+    found = [{h for h, *_ in linededup.fingerprints(t.encode())} for t in texts]
+    assert all(found[0] & f for f in found)
+    by_place = lambda hashes, ends: [i - i % 3 for i in range(len(ends))]
+    monkeypatch.setattr(linededup, "selected", by_place)
+    found = [{h for h, *_ in linededup.fingerprints(t.encode())} for t in texts]
+    assert not all(found[0] & f for f in found)
+
+
+def test_hot_passages_are_dealt_apart(spark, monkeypatch):
+    from graphloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    passage = "\n".join(prose(20, 70 + i) for i in range(3))
+    texts = [f"{prose(9, i)}\n{passage}\n{prose(8, 500 + i)}" for i in range(60)] + corpus()
+    assert lefts(docs(spark, *texts)) == brute(list(enumerate(texts)))
