@@ -2,11 +2,12 @@
 
 A text's zstandard ratio (compressed bytes a byte) falls with its length, so limits go by length. Below its band
 a text repeats itself; above it, it is noise. The same bands are applied to each fixed-size chunk of the text, since
-a long clean part can hide a long bad one from the ratio of the whole. Each document is judged alone: one pass,
+a long clean part can hide a bad one from the ratio of the whole: a text of up to 16 chunks may have none outside its
+band, of up to 64 one, and longer ones one in 64. Each document is judged alone: one pass,
 no shuffle, memory bounded by the longest text.
 
 Defined results: a null text counts as an empty one, has no words and fails the base rules; ratios of empty texts are
-null; rows that repeat are judged alike, each on its own; columns other than ``doc_id`` and ``text`` are not read.
+null; rows that repeat are judged alike, each on its own; columns other than ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import mapped, pick, pieces, utf8
 
-#: (texts of fewer bytes than this, least ratio, greatest ratio); texts below the first length aren't judged.
+#: (texts of fewer bytes than this, least ratio, greatest ratio). Texts of under 64 bytes are stored as they are whether
+#: prose or noise, so only repetition shows there.
 BANDS = (
-    (128, 0.0, 99.0),
+    (32, 0.90, 99.0),
+    (64, 0.65, 2.0),
+    (128, 0.45, 1.06),
     (256, 0.42, 1.15),
     (512, 0.38, 0.95),
     (1024, 0.34, 0.84),
@@ -34,8 +38,10 @@ BANDS = (
     (1 << 62, 0.22, 0.68),
 )
 CHUNK_BYTES = 4096
-#: A text fails if over this share of its bytes lies in chunks that are outside their bands.
-CHUNK_SHARE = 1 / 3
+#: The last chunk takes what is left of the text if that is less than so many bytes.
+LEAST_CHUNK = 128
+#: (texts of fewer chunks than this, chunks outside their bands that such a text may hold); longer ones one in 64.
+CHUNKS_OUTSIDE = ((17, 0), (65, 1))
 LEVEL = 3
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -52,6 +58,16 @@ def band(size: int, bands: tuple = BANDS) -> tuple[float, float]:
     return next((low, high) for below, low, high in bands if size < below)
 
 
+def chunks_allowed(n: int, limits: tuple = CHUNKS_OUTSIDE) -> int:
+    return next((most for below, most in limits if n < below), n // 64)
+
+
+def cut(raw: bytes, chunk: int = CHUNK_BYTES) -> list[bytes]:
+    """Chunks of fixed size; a rest of under LEAST_CHUNK bytes belongs to the last one."""
+    begins = [i for i in range(0, len(raw), chunk) if i == 0 or len(raw) - i >= LEAST_CHUNK]
+    return [raw[a:b] for a, b in zip(begins, [*begins[1:], len(raw)], strict=True)]
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words inside windows of WINDOW words that occur twice or more."""
     n = len(words) - WINDOW + 1
@@ -80,7 +96,7 @@ def repeat_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def judge(raw: bytes, packer: zstandard.ZstdCompressor, bands: tuple = BANDS, chunk: int = CHUNK_BYTES, share: float = CHUNK_SHARE) -> tuple:
+def judge(raw: bytes, packer: zstandard.ZstdCompressor, bands: tuple = BANDS, chunk: int = CHUNK_BYTES, outside_limits: tuple = CHUNKS_OUTSIDE) -> tuple:
     """All columns of SCHEMA but the id."""
     words = raw.split()  # bytes.split() cuts at the six ASCII white-space characters alone
     n_words = len(words)
@@ -91,39 +107,33 @@ def judge(raw: bytes, packer: zstandard.ZstdCompressor, bands: tuple = BANDS, ch
     repeats = repeat_words(words)
     base_failed = n_words < 20 or 100 * repeats > 30 * n_words
     size = len(raw)
-    ratio, n_chunks, outside, outside_bytes, reason = None, 0, 0, 0, None
+    ratio, n_chunks, outside, reason = None, 0, 0, None
     if size:
         ratio = len(packer.compress(raw)) / size
         low, high = band(size, bands)
-        if size <= chunk:
-            n_chunks, outside = 1, int(not low <= ratio <= high)
-            outside_bytes = size * outside
-        else:
-            for i in range(0, size, chunk):
-                part = raw[i : i + chunk]
-                a, b = band(len(part), bands)
-                n_chunks += 1
-                if not a <= len(packer.compress(part)) / len(part) <= b:
-                    outside += 1
-                    outside_bytes += len(part)
-        reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if outside_bytes > share * size else None
+        parts = cut(raw, chunk)
+        n_chunks = len(parts)
+        for part in parts:
+            a, b = band(len(part), bands)
+            outside += not a <= (ratio if n_chunks == 1 else len(packer.compress(part)) / len(part)) <= b
+        reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if outside > chunks_allowed(n_chunks, outside_limits) else None
     reason = "base" if base_failed else reason
     return n_words, word_chars, n_symbols, len(lines) - len(set(lines)), repeats, size, ratio, n_chunks, outside, base_failed, reason is None, reason
 
 
-def _judged(batches: Iterator[pa.RecordBatch], schema: pa.Schema, bands: tuple, chunk: int, share: float) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch], schema: pa.Schema, bands: tuple, chunk: int, limits: tuple) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=LEVEL)
     for batch in pieces(batches):
-        rows = [judge(x or b"", packer, bands, chunk, share) for x in batch.column("text").to_pylist()]
+        rows = [judge(x or b"", packer, bands, chunk, limits) for x in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(schema) - 1)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t.type) for c, t in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
 
 
-def compression_bands(docs: DataFrame, bands: tuple = BANDS, chunk: int = CHUNK_BYTES, share: float = CHUNK_SHARE) -> DataFrame:
+def compression_bands(docs: DataFrame, bands: tuple = BANDS, chunk: int = CHUNK_BYTES, limits: tuple = CHUNKS_OUTSIDE) -> DataFrame:
     """One row per document: counts, ratios and the verdict with its reason (null if kept)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), utf8("text").alias("text"))
-    return mapped(rows, partial(_judged, schema=schema, bands=bands, chunk=chunk, share=share), SCHEMA)
+    return mapped(rows, partial(_judged, schema=schema, bands=bands, chunk=chunk, limits=limits), SCHEMA)

@@ -47,5 +47,54 @@ def test_random_texts_match_brute_force(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute(texts[r["doc_id"]])
 
 
+def brute_verdict(text):
+    """The verdict from the tables in the docstring, written apart from the operator."""
+    raw = (text or "").encode()
+    n_words, *_, repeats = brute(text)
+    if n_words < 20 or 100 * repeats > 30 * n_words:
+        return "base"
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(x)) / len(x)
+
+    def place(x):
+        for below, low, high in quality.BANDS:
+            if len(x) < below:
+                return "repetitive" if ratio(x) < low else "incompressible" if ratio(x) > high else None
+        raise AssertionError
+
+    if (verdict := place(raw)) is not None:
+        return verdict
+    chunks, rest = [], raw
+    while rest:
+        size = 4096 if len(rest) >= 4096 + 128 else len(rest) if len(rest) <= 4096 or len(rest) < 4096 + 128 else 4096
+        chunks.append(rest[:size])
+        rest = rest[size:]
+    bad = sum(place(x) is not None for x in chunks)
+    return "chunks" if bad > (0 if len(chunks) <= 16 else 1 if len(chunks) <= 64 else len(chunks) // 64) else None
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = lambda n: " ".join("".join(rng.choices(letters, k=rng.randrange(1, 76))) for _ in range(n))
+    spam = lambda n: " ".join(f"{w} {i}" for i, w in enumerate(["cheap pills here now for you my"] * n))
+    texts = [prose(n, n) for n in (1, 5, 20, 21, 25, 30, 50, 90, 200, 500, 600, 601, 900, 3000, 20_000, 60_000)]
+    texts += [" ".join("a" * 1 for _ in range(k)) for k in (19, 20, 31, 40)] + [" ".join(rng.choices(letters, k=k)) for k in (20, 25, 40, 60)]
+    texts += [noise(n) for n in (20, 40, 300)] + [spam(n) for n in (3, 20, 200)]
+    texts += [f"{prose(n, n)} {noise(m)} {prose(n, n + 1)}" for n in (300, 2000, 9000, 30_000) for m in (3, 30, 150, 400)]
+    texts += [prose(700, i)[: 4096 + k] for i, k in enumerate((-1, 0, 1, 127, 128, 129))]
+    got = {r["doc_id"]: (r["reason"], r["kept"]) for r in quality.compression_bands(docs(spark, *texts)).collect()}
+    want = [brute_verdict(t) for t in texts]
+    assert got == {i: (v, v is None) for i, v in enumerate(want)}
+    assert {"base", "repetitive", "incompressible", "chunks", None} <= {*want}
+
+
+def test_short_texts_are_judged(spark):
+    short = " ".join("abcdefghijklmnopqrstu")  # 20 and more words in 41 bytes
+    same = "ab cd " * 11
+    got = {r["doc_id"]: r for r in quality.compression_bands(docs(spark, short, same, None, "")).collect()}
+    assert got[0]["kept"] and not got[0]["base_failed"]
+    assert not got[1]["kept"] and got[1]["n_chunks_outside"] == 1 and got[2]["n_chunks"] == got[3]["n_chunks"] == 0
+
+
 def test_empty_table(spark):
     assert quality.compression_bands(docs(spark, "x").where("false")).count() == 0
