@@ -106,12 +106,22 @@ NAMED_SQL = {
     "get_call_chain": where("id IN (SELECT id FROM walk)", walk("SELECT id FROM nodes", CALLS, 1, 10)),
     "get_file_functions": where("type = 'Function' AND id IN (SELECT id FROM walk)", walk("SELECT id FROM nodes WHERE node_type = 'File'", "edge_type = 'Contains'", 1, 1)),
     "get_deprecated_functions": where("type = 'Function' AND label = 'deprecated'"),
-    "get_function_imports": where("false"),
+    "get_function_imports": where("id IN (SELECT id FROM walk)", walk("SELECT id FROM nodes WHERE node_type = 'Function'", "edge_type = 'Uses'", 1, 1)),
     "get_test_coverage": where("false"),
-    "get_module_functions": where("type = 'Function' AND id IN (SELECT id FROM walk)", walk("SELECT id FROM nodes WHERE node_type = 'Module'", "edge_type = 'Contains'", 1, 2)),
+    "get_module_functions": where("type = 'Function' AND id IN (SELECT id FROM walk)", walk("SELECT id FROM nodes WHERE node_type = 'Module'", "edge_type = 'Contains'", 1, 2)).replace("node_type = 'Module'", "starts_with(id, 'nation:')"),
 }
+
+
+def with_modules(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph whose nations are modules and whose uses are imports, for the queries that ask for those."""
+    g = tables.graph(spark, sf_dir)
+    nodes = g.nodes.withColumn("node_type", F.when(F.col("id").startswith("nation:"), "Module").otherwise(F.col("node_type")))
+    return PropertyGraph.of(nodes, g.edges.withColumn("edge_type", F.when(F.col("edge_type") == "Uses", "Imports").otherwise(F.col("edge_type"))))
+
+
 for _name, _sql in NAMED_SQL.items():
-    query(f"named_{_name}", _sql)(lambda spark, sf_dir, name=_name: Executor(tables.graph(spark, sf_dir)).run({"named": name}).nodes)
+    _graph = with_modules if _name in ("get_function_imports", "get_module_functions") else tables.graph
+    query(f"named_{_name}", _sql)(lambda spark, sf_dir, name=_name, graph=_graph: Executor(graph(spark, sf_dir)).run({"named": name}).nodes)
 
 
 @query("describe_schema")
@@ -219,9 +229,14 @@ def _(spark, sf_dir):
     return cochange.partners(tables.graph(spark, sf_dir, co_changes=True), PART)
 
 
-@query("shared_partners", f"{G} SELECT id FROM ({PARTNERS.format('part:7')}) JOIN ({PARTNERS.format('part:8')}) USING (id)")
+ANY_PARTNERS = PARTNERS.replace("n >= 2", "n >= 1")
+
+
+@query("shared_partners", f"{G} SELECT id FROM ({ANY_PARTNERS.format('part:7')}) JOIN ({ANY_PARTNERS.format('part:8')}) USING (id)")
 def _(spark, sf_dir):
-    return cochange.shared_partners(tables.graph(spark, sf_dir, co_changes=True), "part:7", "part:8")
+    pairs = cochange.cochange_pairs(tables.commits(spark, sf_dir), None, least=1)
+    edges = pairs.select(F.lit("CoChangedWith").alias("edge_type"), F.col("file1").alias("source_id"), F.col("file2").alias("target_id"), F.col("co_change_count").cast("double").alias("weight"))
+    return cochange.shared_partners(PropertyGraph.of(tables.nodes(spark, sf_dir), edges), "part:7", "part:8")
 
 
 @query("commits_since", "SELECT 'order:' || o.o_orderkey AS id, epoch(o.o_orderdate)::BIGINT AS time FROM orders o, (SELECT * FROM orders ORDER BY o_orderdate DESC, 'order:' || o_orderkey LIMIT 1 OFFSET 50) c WHERE o.o_orderdate > c.o_orderdate OR (o.o_orderdate = c.o_orderdate AND 'order:' || o.o_orderkey < 'order:' || c.o_orderkey)")
@@ -379,9 +394,9 @@ def _(spark, sf_dir):
     return architecture.master_map(edited(spark, sf_dir), tables.NOW)
 
 
-@query("overlay_search_name", f"{G}{OVER} SELECT id, name FROM over WHERE contains(lower(name), '1*')")
+@query("overlay_search_name", f"{G}{OVER} SELECT id, name FROM over WHERE contains(lower(name), '2*')")
 def _(spark, sf_dir):
-    return resolve.search_name(edited(spark, sf_dir).overlay_nodes, "1*").select("id", "name")
+    return resolve.search_name(edited(spark, sf_dir).overlay_nodes, "2*").select("id", "name")
 
 
 @query("overlay_resolve", f"{G}{OVER}, handles AS (SELECT unnest(['supplier:new', 'part:3', 'new', 'part_4', 'ASIA', 'nowhere']) AS handle), hits AS (SELECT handle, 1 AS p, id FROM handles JOIN over ON id = handle UNION ALL SELECT handle, 2, id FROM handles JOIN nodes ON id = handle UNION ALL SELECT handle, 3, id FROM handles JOIN over ON name = handle UNION ALL SELECT handle, 4, id FROM handles JOIN nodes ON name = handle UNION ALL SELECT handle, 5, id FROM handles JOIN nodes ON path = handle) SELECT handle, arg_min(id, (p, id)) AS id, min(p)::BIGINT AS priority FROM hits GROUP BY handle")
@@ -452,12 +467,6 @@ def _(spark, sf_dir):
 
 
 # functions
-@query("uuid5_ids")
-def _(spark, sf_dir):
-    nodes = tables.graph(spark, sf_dir).nodes
-    return nodes.select("id", fn.node_id(F.col("node_type"), F.col("path"), F.col("name")).alias("uuid"))
-
-
 @query("text_functions", f"{G} SELECT id, concat_ws(' | ', name, signature, docstring, path) AS enriched, substr(signature, strpos(signature, '->') + 3) AS returns, string_split(path, '/')[-1] AS file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, upper(name[1]) || lower(name[2:]) AS title FROM nodes WHERE node_type = 'Function'")
 def _(spark, sf_dir):
     nodes = tables.graph(spark, sf_dir).nodes.where("node_type = 'Function'")
@@ -682,3 +691,6 @@ def _(spark, sf_dir):
     from .operators import tools
 
     return tools.call("get_health", tables.graph(spark, sf_dir)).drop("last_commit")
+
+
+from . import catalogue_writes  # noqa: E402, F401  (adds to the queries above)

@@ -19,7 +19,7 @@ from ..runtime import BROADCAST_ROWS, share
 #: So many results of hops are merged into one, and so many of those again.
 MERGED = 16
 #: So many hops are a lazy plan; more are run hop by hop, since a plan that repeats what came before grows fast.
-LAZY_HOPS = 1
+LAZY_HOPS = 2
 
 
 class Hops:

@@ -16,7 +16,7 @@ def _type(name: str) -> Find:
     return Find(type=OneOf((name,)))
 
 
-# ``Defines`` stands for Contains here
+# fixed values: the named queries and what they expand to; ``Defines`` stands for Contains here
 NAMED = {
     "get_blast_radius": (Find(), _calls("outgoing", 1, 2), _calls("incoming", 1, 2)),
     "get_call_chain": (Find(), _calls("outgoing", 1, 10)),

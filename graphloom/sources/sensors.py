@@ -107,6 +107,11 @@ def graphql(files: DataFrame) -> DataFrame:
     return inside.union(alone).withColumnRenamed("path", "schema_path")
 
 
+# fixed values: what marks a socket's URL, its constructor and its handlers in a line
+SOCKET_URLS = (r'"(wss?://[^"\']+)"', r'new\s+WebSocket\s*\(\s*["\']([^"\']+)["\']')
+SOCKET_HANDLER = r"(on(?:open|message|close|error))\s*[=:]\s*(\w+)"
+
+
 def websocket(files: DataFrame) -> DataFrame:
     """(file_path, url, handler, line): socket URLs, constructors and event handlers."""
     rows = _lines(files)
@@ -114,8 +119,8 @@ def websocket(files: DataFrame) -> DataFrame:
     def all_of(pattern: str, group: int) -> DataFrame:
         return rows.select("path", "line", F.explode(F.regexp_extract_all("raw", F.lit(pattern), F.lit(group))).alias("found"))
 
-    urls = all_of(r'"(wss?://[^"\']+)"', 1).union(all_of(r'new\s+WebSocket\s*\(\s*["\']([^"\']+)["\']', 1))
-    names = all_of(r"(on(?:open|message|close|error))\s*[=:]\s*(\w+)", 2)
+    urls = all_of(SOCKET_URLS[0], 1).union(all_of(SOCKET_URLS[1], 1))
+    names = all_of(SOCKET_HANDLER, 2)
     return urls.select(F.col("path").alias("file_path"), F.col("found").alias("url"), F.lit("").alias("handler"), "line").union(names.select("path", F.lit(""), "found", "line"))
 
 

@@ -6,11 +6,18 @@ Orders are commits whose files are their parts, and large lines are calls from o
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
+from ..runtime import drop_path, shared_folder
+from . import storage
 
+#: Where a session's graphs lie, by session, shared folder and folder of tables.
+SAVED: dict[tuple[str, str, str], str] = {}
 #: Seconds that stand for now in these tables.
 NOW = 1_700_000_000
 
@@ -86,15 +93,27 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(_id("order", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("message"), F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("time"))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph as a saved copy, made once a session: partitioned by type and sorted by id, so that lookups prune files."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir)
+    if key not in SAVED:
+        path = f"{shared_folder(spark)}/graphloom/graph-{uuid.uuid4().hex}"
+        atexit.register(drop_path, spark, path)
+        storage.save(PropertyGraph.of(nodes(spark, sf_dir), edges(spark, sf_dir)), path)
+        SAVED[key] = path
+    return storage.load(spark, SAVED[key])
+
+
 def graph(spark: SparkSession, sf_dir: str, co_changes: bool = False) -> PropertyGraph:
     """The graph; with co_changes also CoChangedWith edges between parts of two or more common orders."""
     from ..operators.cochange import cochange_pairs
 
-    e = edges(spark, sf_dir)
+    g = stored(spark, sf_dir)
+    e = g.edges
     if co_changes:
         pairs = cochange_pairs(commits(spark, sf_dir), None)
         e = e.union(pairs.select(F.lit("CoChangedWith"), "file1", "file2", F.col("co_change_count").cast("double")))
-    return PropertyGraph.of(nodes(spark, sf_dir), e)
+    return PropertyGraph.of(g.nodes, e)
 
 
 def pattern_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
