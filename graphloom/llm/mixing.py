@@ -86,8 +86,11 @@ def with_copies(rows: DataFrame, table: DataFrame, fits: bool) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as its source's rate says, with the columns of docs."""
     table, fits = rates(docs)
-    out = with_copies(docs, table, fits).where("n_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the caller's columns travel in a struct, so that theirs and ours never share a name
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = with_copies(docs.select("doc_id", "source", row), table, fits).where("n_copies > 0")
+    copies_of = out.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    return copies_of.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def plan(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def rows():
 
 
 def test_targets_and_takes(spark, rows):
-    docs = clashing(spark.createDataFrame(rows, DOCS)).drop("size")
+    docs = clashing(spark.createDataFrame(rows, DOCS))
     got = mixing.plan(docs).collect()
     assert len(got) == len(rows)
     sizes = Counter()
@@ -67,6 +67,23 @@ def test_emits_copies(spark, rows):
     assert got == plan
 
 
+def test_names_may_clash(spark, rows):
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("n_copies", "_key", "_mix", "_copy", "row", "copy", "size", "rate"):
+        docs = docs.selectExpr("*", f"'mine' AS `{name}`")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    assert {(r["n_copies"], r["_key"], r["_mix"], r["_copy"], r["row"]) for r in got.collect()} == {("mine",) * 5}
+
+
+def test_repeated_and_very_long_rows(spark):
+    long = prose(300_000, 1)
+    rows = [(1, long, "en", "a", 0)] + [(2, "one two", "en", "b", 0)] * 50
+    got = mixing.plan(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 51 and {r["size"] for r in got if r["source"] == "a"} == {300_000}
+    assert len({r["taken"] for r in got if r["source"] == "b"}) == 1  # repeated rows share a coin
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
