@@ -127,7 +127,11 @@ def resolve_static_refs(graph: PropertyGraph, refs: DataFrame) -> DataFrame:
     No self edges; types are used only where they are types; of several edges between two nodes the first in the
     order of types stays.
     """
-    sources = at_lines(refs.select("path", "line", "target_name", "edge_type").distinct(), graph.nodes, ("target_name", "edge_type"))
+    return named_targets(graph, at_lines(refs.select("path", "line", "target_name", "edge_type").distinct(), graph.nodes, ("target_name", "edge_type")))
+
+
+def named_targets(graph: PropertyGraph, sources: DataFrame) -> DataFrame:
+    """Edges from nodes (id, target_name, edge_type) to all nodes of the name, by the rules of resolve_static_refs."""
     targets = graph.nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.col("node_type").alias("target_type"))
     edges = sources.withColumnRenamed("id", "source_id").join(targets, "target_name").where("source_id <> target_id")
     edges = edges.where((F.col("edge_type") != "Uses") | F.col("target_type").isin(*TYPE_TARGETS))

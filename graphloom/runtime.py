@@ -54,6 +54,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables in a folder, in order; none if there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    found = [s.getPath() for s in files.listStatus(where) if s.isDirectory()]
+    return sorted(p.getName() for p in found if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used; it goes when the driver's Python ends, or with ``released``."""
     path = f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
