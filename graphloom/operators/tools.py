@@ -80,7 +80,7 @@ def observations(graph: PropertyGraph, min_fan_out: int = 50) -> dict[str, DataF
 
 @tool("semantic_search")
 def search(graph: PropertyGraph, query: str, limit: int = 10, embed: Callable = semantic.hashed_embedding) -> DataFrame:
-    return semantic.semantic_search(graph, embed(query), limit)
+    return semantic.semantic_search(graph, embed(query), limit, model=semantic.batches_of(embed))
 
 
 @tool("query_graph")
@@ -131,7 +131,7 @@ def branch_status(graph: PropertyGraph, commits: DataFrame) -> DataFrame:
 
 @tool("get_file_diff")
 def file_diff(graph: PropertyGraph, staged: DataFrame, unstaged: DataFrame, untracked: DataFrame, path: str | None = None) -> DataFrame:
-    """Uncommitted changes (path, change, staged), duplicates kept (S3)."""
+    """Uncommitted changes (path, change, staged), duplicates kept (S3); their texts are from ``difftext.file_diffs``."""
     rows = staged.select("path", "change", F.lit(True).alias("staged")).union(unstaged.select("path", "change", F.lit(False))).union(untracked.select("path", F.lit("Added"), F.lit(False)))
     return rows if path is None else rows.where(F.col("path") == path)
 

@@ -10,8 +10,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cosine, label
+from ..functions import label
 from ..graph import PropertyGraph
+from ..operators.semantic import batches_of, embed_nodes, similarities
 from ..operators.traverse import reach
 from .selectors import Name, OneOf, SpecError, edge_selector
 
@@ -183,9 +184,11 @@ def _shown(nodes: DataFrame) -> DataFrame:
 class Executor:
     """Runs specs on a graph; by default on what overlay and base make together."""
 
-    def __init__(self, graph: PropertyGraph, base_only: bool = False, embed=None):
+    def __init__(self, graph: PropertyGraph, base_only: bool = False, embed=None, model=None, on_demand: bool = True):
+        """embed gives a query's vector; model those of a batch of nodes without one, by default by embed."""
         self.graph = graph.without_overlay() if base_only else graph.merged()
         self.embed = embed
+        self.model = (model or (batches_of(embed) if embed else None)) if on_demand else None
 
     def run(self, spec: Spec | str | dict) -> Result:
         spec = spec if isinstance(spec, Spec) else Spec.parse(spec)
@@ -242,12 +245,15 @@ class Executor:
         return _shown(out)
 
     def semantic_filter(self, nodes: DataFrame, op: SemanticFilter) -> DataFrame:
-        """Nodes whose stored vector has a cosine over the threshold with that of the text; without a model, none."""
+        """Nodes whose vector has a cosine over the threshold with that of the text; without embed, none.
+
+        Nodes of the set that have no stored vector get one on demand, unless that was ruled out.
+        """
         vector = self.embed(op.like) if self.embed else None
         if vector is None:
             return nodes.where(F.lit(False))
-        like = F.array(*[F.lit(float(v)) for v in vector])
-        near = self.graph.nodes.where(cosine(F.col("embedding"), like) > op.threshold)
+        near = self.graph.nodes.join(nodes.select("id"), "id", "left_semi")
+        near = similarities(embed_nodes(near, self.model) if self.model else near, vector).where(F.col("similarity") > op.threshold)
         return nodes.join(near.select("id"), "id", "left_semi").select(*nodes.columns)
 
     def group(self, nodes: DataFrame, op: Group) -> DataFrame:
