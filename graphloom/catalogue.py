@@ -12,7 +12,7 @@ from .graph import PropertyGraph
 from .operators import architecture, cochange, diagnostics, dml, impact, metrics, patterns, resolve, semantic, traverse
 from .plans.named import describe_schema
 from .plans.ops import Executor
-from .sources import extract, project, sensors, tables
+from .sources import difftext, extract, project, sensors, tables
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,7 +132,24 @@ def _(spark, sf_dir):
 @query("semantic_filter", f"{G}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) SELECT s.id, type, s.name, label FROM shown s JOIN nodes n ON s.id = n.id, q WHERE s.type = 'Function' AND list_cosine_similarity(n.embedding::DOUBLE[], v) > 0.2")
 def _(spark, sf_dir):
     vector = first_vector(spark, sf_dir)
-    return Executor(tables.graph(spark, sf_dir), embed=lambda text: vector).run({"ops": [find(type="Function"), {"op": "semantic_filter", "like": "the first vector", "threshold": 0.2}]}).nodes
+    return Executor(tables.graph(spark, sf_dir), embed=lambda text: vector, on_demand=False).run({"ops": [find(type="Function"), {"op": "semantic_filter", "like": "the first vector", "threshold": 0.2}]}).nodes
+
+
+# a model that SQL can say: one axis for each length of a text
+LENGTH = 16
+
+
+def by_length(texts: list[str]) -> list[list[float]]:
+    return [[1.0 if i == len(t) % 64 else 0.0 for i in range(64)] for t in texts]
+
+
+@query(
+    "semantic_filter_on_demand",
+    f"{G}, q AS (SELECT [CASE WHEN x = {LENGTH} THEN 1.0 ELSE 0.0 END FOR x IN range(64)]::DOUBLE[] AS v), made AS (SELECT id, embedding::DOUBLE[] AS e, length(concat_ws(' | ', nullif(name, ''), nullif(signature, ''), nullif(docstring, ''), nullif(path, ''))) % 64 AS l FROM nodes) SELECT s.id, type, s.name, label FROM shown s JOIN made m ON s.id = m.id, q WHERE CASE WHEN e IS NULL THEN l = {LENGTH} ELSE list_cosine_similarity(e, v) > 0.2 END",
+)
+def _(spark, sf_dir):
+    ops = [find(), {"op": "semantic_filter", "like": "x" * LENGTH, "threshold": 0.2}]
+    return Executor(tables.graph(spark, sf_dir), embed=lambda text: by_length([text])[0], model=by_length).run({"ops": ops}).nodes
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -572,20 +589,25 @@ def _(spark, sf_dir):
 EVENTS = "events"
 
 
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes: users stand for files, types for kinds."""
+    return windows.as_changes(tables.table(spark, sf_dir, EVENTS), "user_id", "event_type")
+
+
 @query("events_tumbling", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(spark, sf_dir):
-    out = windows.tumbling(windows.with_time(tables.table(spark, sf_dir, EVENTS)))
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))
+    out = windows.tumbling(changes(spark, sf_dir), sums=("value",))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("value", 4).alias("total"))
 
 
 @query("events_sliding", "SELECT (date_trunc('day', ts) - to_days(k))::TIMESTAMP AS start, count(*) AS n, count(DISTINCT user_id) AS files FROM events, (VALUES (0), (1)) t(k) GROUP BY 1")
 def _(spark, sf_dir):
-    return windows.sliding(windows.with_time(tables.table(spark, sf_dir, EVENTS))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return windows.sliding(changes(spark, sf_dir)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("events_session", "WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM events), runs AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM gaps) SELECT user_id, min(ts) AS start, count(*) AS n FROM runs GROUP BY user_id, run")
 def _(spark, sf_dir):
-    return windows.sessions(windows.with_time(tables.table(spark, sf_dir, EVENTS))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return windows.sessions(changes(spark, sf_dir)).select(F.col("path").alias("user_id"), F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2")
@@ -599,9 +621,51 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """A file stream that keeps the overlay up, run until all files have been read."""
     events = tables.table(spark, sf_dir, EVENTS)
-    overlay = windows.Overlay(spark)
-    windows.run_once(windows.read_changes(spark, f"{sf_dir}/{EVENTS}.parquet*", events.schema), overlay.apply)
-    return overlay.table().select("user_id", "event_id", "event_type")
+    overlay = windows.Overlay(spark, order=("ts", "event_id"))
+    overlay.follow(windows.as_changes(windows.read_changes(spark, f"{sf_dir}/{EVENTS}.parquet*", events.schema), "user_id", "event_type"))
+    return overlay.table().select(F.col("path").alias("user_id"), "event_id", F.col("kind").alias("event_type"))
+
+
+@query("stream_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) NOT IN ('error', 'click')")
+def _(spark, sf_dir):
+    """Files whose last change isn't a removal, for which two types of events stand."""
+    last = windows.latest_state(changes(spark, sf_dir), ("ts", "event_id"), ("error", "click"))
+    return last.select(F.col("path").alias("user_id"), "event_id", F.col("kind").alias("event_type"))
+
+
+@query("stream_debounce", "WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM events), runs AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM gaps) SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS kind, count(*) AS n FROM runs GROUP BY user_id, run")
+def _(spark, sf_dir):
+    out = windows.debounced(changes(spark, sf_dir), "6 hours")
+    return out.select(F.col("path").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "kind", "n")
+
+
+PLACES = ("src/f{u}.rs", ".git/f{u}.rs", "src/f{u}.txt", "a/.b/f{u}.py", "a.b/f{u}.tsx", "Makefile{u}", "x/.f{u}.go", "y/f{u}.min.js")
+
+
+@query("watch_rules", "SELECT event_id, CASE user_id % 8 WHEN 0 THEN 'src/f' || user_id || '.rs' WHEN 4 THEN 'a.b/f' || user_id || '.tsx' ELSE 'y/f' || user_id || '.min.js' END AS path, CASE event_id % 4 WHEN 0 THEN 'Created' WHEN 1 THEN 'Modified' ELSE 'Removed' END AS kind FROM events WHERE user_id % 8 IN (0, 4, 7) AND event_id % 4 < 3")
+def _(spark, sf_dir):
+    e = tables.table(spark, sf_dir, EVENTS)
+    place = F.replace(F.element_at(F.array(*map(F.lit, PLACES)), (F.col("user_id") % 8 + 1).cast("int")), F.lit("{u}"), F.col("user_id").cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ("Created", "Modified", "Removed", "Accessed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return windows.watched(e.select("event_id", place.alias("path"), kind.alias("kind"))).select("event_id", "path", "kind")
+
+
+@query("file_diff_text", "SELECT 'f' || s_suppkey AS path, '@@ -1,2 +1,2 @@' || chr(10) || '-' || s_name || chr(10) || '+' || s_name || '!' || chr(10) || ' x' || chr(10) AS diff FROM supplier WHERE s_suppkey % 2 = 0")
+def _(spark, sf_dir):
+    s = tables.table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("path"), "s_name", (F.col("s_suppkey") % 2 == 0).alias("even"))
+    index = s.select("path", F.concat("s_name", F.lit("\nx\n")).alias("text"))
+    workdir = s.select("path", F.concat("s_name", F.when(F.col("even"), "!").otherwise(""), F.lit("\nx\n")).alias("text"))
+    out = difftext.file_diffs(index, workdir)
+    return out.select("path", F.regexp_extract("diff", r"(?s)(@@ .*)$", 1).alias("diff"))
+
+
+@query("find_test_file", "SELECT 'lib/m' || s_suppkey || '.rs' AS path, CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE 'file' END AS kind, CASE s_suppkey % 3 WHEN 1 THEN 'lib/m' || s_suppkey || '_test.rs' WHEN 2 THEN 'lib/m' || s_suppkey || '/mod.rs' END AS test_path FROM supplier UNION ALL SELECT 'p/src/n' || n_nationkey || '.rs', 'inline', 'tests/n' || n_nationkey || '.rs' FROM nation")
+def _(spark, sf_dir):
+    s = tables.table(spark, sf_dir, "supplier").select(F.concat(F.lit("lib/m"), "s_suppkey").alias("m"), (F.col("s_suppkey") % 3).alias("k"))
+    n = tables.table(spark, sf_dir, "nation").select(F.concat(F.lit("p/src/n"), "n_nationkey", F.lit(".rs")).alias("path"))
+    ends = F.when(F.col("k") == 1, F.array(F.lit("_test.rs"), F.lit("/mod.rs"))).when(F.col("k") == 2, F.array(F.lit("/mod.rs"))).otherwise(F.array(F.lit(".md")))
+    files = s.select(F.explode(F.transform(ends, lambda end: F.concat("m", end))).alias("path"))
+    return difftext.tests_of(s.select(F.concat("m", F.lit(".rs")).alias("path")).union(n), files)
 
 
 # the chain-and-hub graph that micro-benchmarks use: N functions in one file, each calling the next, and a hub

@@ -89,6 +89,8 @@ def test_semantic_filter(spark):
 
     g = small(spark)
     nodes = g.nodes.withColumn("embedding", F.when(F.col("id") == "a", F.array(F.lit(1.0), F.lit(0.0))).when(F.col("id") == "b", F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>"))
-    found = Executor(PropertyGraph(nodes, g.edges), embed=lambda t: [1.0, 0.1]).run({"ops": [{"op": "find"}, {"op": "semantic_filter", "like": "a"}]})
+    found = Executor(PropertyGraph(nodes, g.edges), embed=lambda t: [1.0, 0.1], on_demand=False).run({"ops": [{"op": "find"}, {"op": "semantic_filter", "like": "a"}]})
     assert ids(found.nodes) == {"a"}
+    found = Executor(PropertyGraph(nodes, g.edges), embed=lambda t: [1.0, 0.1]).run({"ops": [{"op": "find"}, {"op": "semantic_filter", "like": "a"}]})
+    assert ids(found.nodes) == ids(g.nodes) - {"b"}  # what has no vector gets one from its text; stored ones stand
     assert run(spark, {"op": "find"}, {"op": "semantic_filter", "like": "a"}).count() == 0
