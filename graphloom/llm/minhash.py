@@ -11,8 +11,9 @@ tree with probability 1 - (1 - 0.8**DEPTH)**TREES, over 0.9999; pairs that sizes
 Candidates are confirmed on full sets in two rounds. The first confirms each row's best candidate, which connects
 nearly all of a dense group by as many pairs as it has rows; the second confirms all other pairs whose ends are not
 yet in one component. A crowded region may still hold rows outside its largest component. Regions that share rows make
-a crowd, and its rows outside its largest component are compared with all of its rows on full sets, in tiles of bounded
-size that return links alone, never pairs. No candidate is given up.
+a crowd. Its rows outside its largest component are compared on full sets with those of its rows that share one of their
+rarest shingles, of which similar rows always share one; where many rows of a crowd do so, and in small crowds, with all
+of its rows, in tiles of bounded size that return links alone, never pairs. No candidate is given up.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept; one with
 fewer words than a shingle has its whole sequence as the only shingle; equal rows stay or go together; rows that share
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mapped, pieces, share, utf8
+from .common import components, join_counted, mapped, pieces, share, utf8
 
 SHINGLE = 5
 THRESHOLD = 80  # percent
@@ -305,8 +306,42 @@ def extended(reached: DataFrame, new: DataFrame) -> DataFrame:
     return share(every.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "reached")
 
 
+def _shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    known = WordHashes()
+    for batch in pieces(batches):
+        sets = [shingle_set(x, k, known) for x in batch.column("text").to_pylist()]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        at = pa.array(np.repeat(np.arange(len(sets)), n))
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c).take(at) for c in ("crowd", "id", "tie")], pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))],
+            names=["crowd", "id", "tie", "n", "shingle"],
+        )
+
+
+def rare_shingles(rows: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(crowd, id, n, shingle, met) of the shingles of which similar rows of a crowd have at least one in common.
+
+    Each crowd's shingles are ordered by how many of its rows have them, rare ones first. Sets of n and more shingles
+    that are similar have threshold percent of n in common, so each has a common one among its first
+    n - threshold percent of n + 1. Those that no other row has are counted among them, but not returned.
+    """
+    of = rows.select("crowd", "id").join(texts, "id").select("crowd", "id", F.xxhash64("text").alias("tie"), "text")
+    every = share(mapped(of, partial(_shingled, k=k), "crowd bigint, id bigint, tie bigint, n bigint, shingle bigint"), "shingles")
+    common = share(every.groupBy("crowd", "shingle").agg(F.count("*").alias("met")).where("met > 1").withColumn("count", F.col("met")), "common")
+    found = join_counted(every, common, ["crowd", "shingle"], "count", every.count())
+    sets = found.groupBy("crowd", "id", "tie", "n").agg(F.sort_array(F.collect_list(F.struct("met", "shingle"))).alias("found"))
+    first = F.expr(f"n - ceil(n * {threshold} / 100) + 1 - (n - size(found))").cast("int")
+    taken = sets.withColumn("first", first).where("first > 0").select("crowd", "id", "n", F.explode(F.slice("found", 1, F.col("first"))).alias("x"))
+    return taken.select("crowd", "id", "n", "x.shingle", "x.met")
+
+
 def crowd_links(crowds: DataFrame, texts: DataFrame, reached: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Links (a, b) of rows outside their crowd's largest component with rows of other components."""
+    """Links (a, b) of rows outside their crowd's largest component with rows of other components.
+
+    In crowds of more than TILE rows such a row is compared with those that share one of its rare shingles, unless more
+    than TILE rows have one of these: then, as in smaller crowds, with all rows of its crowd, in tiles.
+    """
     at = crowds.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     at = share(at, "regions")
     mixed = at.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region", "low")
@@ -318,19 +353,30 @@ def crowd_links(crowds: DataFrame, texts: DataFrame, reached: DataFrame, k: int,
     named = components(edges, "component", "to").withColumnRenamed("component", "crowd").withColumnRenamed("node", "component")
     rows = share(rows.select("id", "component").distinct().join(named, "component"), "crowds")
     parts = rows.groupBy("crowd", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("crowd").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("rows"), (F.sum("n") - F.max("n")).alias("asking"))
-    sizes = main.select("crowd", "main", F.ceil(F.col("asking") / TILE).cast("int").alias("ask_tiles"), F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
-    full = rows.join(sizes, "crowd").withColumn("asks", F.col("component") != F.col("main"))
+    main = parts.groupBy("crowd").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("rows"))
+    full = share(rows.join(main, "crowd").withColumn("asks", F.col("component") != F.col("main")), "crowds")
+
+    rare = rare_shingles(full.where(F.col("rows") > TILE), texts, k, threshold)
+    rare = share(rare.join(full.select("id", "component", "asks"), "id"), "rare")
+    often = share(rare.where(F.col("asks") & (F.col("met") > TILE)).select("id").distinct(), "often")
+    few = rare.where(F.col("met") <= TILE)
+    one = few.where("asks").join(often, "id", "left_anti").select("crowd", "shingle", *[F.col(c).alias(f"{c}_1") for c in ("id", "component", "n")])
+    both = one.join(few, ["crowd", "shingle"]).where("component <> component_1").where(F.least("n", "n_1") * 100 >= F.greatest("n", "n_1") * threshold)
+    pairs = share(both.select(F.greatest("id", "id_1").alias("a"), F.least("id", "id_1").alias("b")).distinct(), "pairs")
+
+    asks = full.where(F.col("asks") & (F.col("rows") <= TILE)).select("id").union(often)
+    asks = share(full.join(asks, "id", "left_semi"), "asks")
+    sizes = asks.groupBy("crowd").agg(F.ceil(F.count("*") / TILE).cast("int").alias("ask_tiles"), F.ceil(F.max("rows") / TILE).cast("int").alias("tiles"))
     spread = lambda n: F.pmod(F.xxhash64("id", F.lit("tile")), F.col(n)).cast("int")
     some = ["crowd", "id", "component"]
-    asking = full.where("asks").select(*some, F.lit(True).alias("asks"), spread("ask_tiles").alias("one"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("two"))
-    asked = full.select(*some, F.lit(False).alias("asks"), spread("tiles").alias("two"), F.explode(F.sequence(F.lit(0), F.col("ask_tiles") - 1)).alias("one"))
+    asking = asks.join(sizes, "crowd").select(*some, F.lit(True).alias("asks"), spread("ask_tiles").alias("one"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("two"))
+    asked = full.join(sizes, "crowd").select(*some, F.lit(False).alias("asks"), spread("tiles").alias("two"), F.explode(F.sequence(F.lit(0), F.col("ask_tiles") - 1)).alias("one"))
     tiled = asking.unionByName(asked).join(texts, "id")
 
     def linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _linked(key, table, k, threshold)
 
-    return tiled.groupBy("crowd", "one", "two").applyInArrow(linked, "a bigint, b bigint").distinct()
+    return confirm(pairs, texts, k, threshold).union(tiled.groupBy("crowd", "one", "two").applyInArrow(linked, "a bigint, b bigint")).distinct()
 
 
 def reach(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:

@@ -123,6 +123,28 @@ def test_a_region_of_unlinked_boilerplate(spark):
     assert len({c for _, c in want.values()}) == 400
 
 
+def test_crowds_beyond_a_tile_equal_brute_force(spark, monkeypatch):
+    """Rows that differ in a tenth to half of their words: those with rare shingles meet by these, others in tiles."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    rng = random.Random(41)
+    texts = []
+    for g in range(3):
+        passage = prose(100, g).split()
+        for i in range(50):
+            own = prose(rng.choice([8, 13, 16, 20, 40, 90]), 900 + 100 * g + i // 2).split()
+            own[rng.randrange(len(own))] = f"z{i}"
+            texts.append(" ".join(passage + own if i % 3 else own + passage))
+    want = brute(list(enumerate(texts)))
+    assert result(docs(spark, *texts)) == want
+    crowded = spark.createDataFrame([(g, 50 * g + i) for g in range(3) for i in range(50)], "region bigint, id bigint")
+    rows = docs(spark, *texts).selectExpr("doc_id AS id", "CAST(text AS binary) AS text")
+    nothing = spark.createDataFrame([], "node bigint, component bigint")
+    links = {(r["a"], r["b"]) for r in minhash.crowd_links(crowded, rows, nothing, 4, 80).collect()}
+    sets = [shingles(t, 4) for t in texts]
+    every = {(a, b) for g in range(3) for a in range(50 * g, 50 * g + 50) for b in range(50 * g, a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links == every
+
+
 def test_very_long_texts(spark):
     long = prose(60_000, 2).split()
     near = list(long)
