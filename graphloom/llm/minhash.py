@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, mapped, pieces, share, utf8
+from .common import HOT_SHARE, components, join_counted, mapped, pieces, share, utf8
 
 SHINGLE = 5
 THRESHOLD = 80  # percent
@@ -45,6 +45,8 @@ NEIGHBOURS = 4
 CROWDED_DEPTH = 6
 #: Rows of a tile of a crowd.
 TILE = 256
+#: Pairs that one copy of a row's text serves, if the row is in very many.
+DEALT = 128
 WORDS_CACHED = 400_000
 
 _RNG = np.random.default_rng(20)
@@ -250,9 +252,19 @@ def _confirmed(batches: Iterator[pa.RecordBatch], k: int, threshold: int) -> Ite
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; texts has id and text."""
-    left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) whose full sets are similar; texts has id and text.
+
+    A row b that is in many pairs is dealt out with a copy of its text for each DEALT pairs. Of such rows, with more
+    than HOT_SHARE of all pairs, there are 1 / HOT_SHARE at most, so their ids and counts are broadcast.
+    """
+    pairs = share(pairs.select("a", "b"), "asked")
+    hot = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > max(DEALT, int(pairs.count() * HOT_SHARE)))
+    hot = F.broadcast(share(hot.select("b", F.ceil(F.col("n") / DEALT).cast("int").alias("parts")), "hot"))
+    parts = F.coalesce("parts", F.lit(1))
+    asked = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    left = asked.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(hot, "b", "left")
+    both = left.join(right.select("b", "text_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["b", "part"])
     return mapped(both.select("a", "b", "text_a", "text_b"), partial(_confirmed, k=k, threshold=threshold), "a bigint, b bigint")
 
 
