@@ -145,16 +145,6 @@ def test_crowds_beyond_a_tile_equal_brute_force(spark, monkeypatch):
     assert links == every
 
 
-def test_a_row_in_many_pairs_is_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "DEALT", 16)
-    words = prose(60, 1).split()
-    texts = [" ".join(words)] + [" ".join([*words, f"x{i}"] if i % 2 else words[:30]) for i in range(1, 200)]
-    rows = docs(spark, *texts).selectExpr("doc_id AS id", "CAST(text AS binary) AS text")
-    pairs = spark.createDataFrame([(i, 0) for i in range(1, 200)] + [(3, 1), (4, 1)], "a bigint, b bigint")
-    got = sorted((r["a"], r["b"]) for r in minhash.confirm(pairs, rows, 4, 80).collect())
-    assert got == sorted([(i, 0) for i in range(1, 200, 2)] + [(3, 1)])
-
-
 def test_very_long_texts(spark):
     long = prose(60_000, 2).split()
     near = list(long)
